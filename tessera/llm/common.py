@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python can import it."""
+    if (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    top = Path(__file__).resolve().parent.parent
+    with zipfile.ZipFile(to := Path(tempfile.mkdtemp(prefix="tessera-ship-")) / f"{top.name}.zip", "w") as z:
+        for path in top.rglob("*.py"):
+            z.write(path, path.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(app)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that no column of ``df`` has, whatever the letter case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, quality_rules
+from tessera.llm import exact_dedup, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": sharding.op1_sharding,
+        "op4_simhash": simhash.op4_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
     }
