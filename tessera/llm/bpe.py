@@ -19,6 +19,7 @@ name.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -48,6 +49,26 @@ def byte_alphabet() -> dict[str, int]:
     return {c: b for b, c in shown.items()}
 
 
+class Cache(dict):
+    """Ids by word, merged when first asked for. Two generations, so that frequent words outlive a full cache."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge, self.old = merge, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.merge(word.encode("utf-8"))
+            if len(word) > SHORT:
+                return ids
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Tokenizer:
     """Encoder and decoder for the contents of a byte-level BPE file."""
 
@@ -73,7 +94,7 @@ class Tokenizer:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(WORDS)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = Cache(self.merge)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         return self._scan(word) if len(word) <= SHORT else self._heap(word)
@@ -116,20 +137,11 @@ class Tokenizer:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        cache, special = self.cache, self.special
         for piece in self.split.split(text) if self.split else [text]:
-            if piece in special:
-                out.append(special[piece])
-                continue
-            for word in self.words.findall(piece):
-                ids = cache.get(word)
-                if ids is None:
-                    ids = self.merge(word.encode("utf-8"))
-                    if len(word) <= SHORT:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        cache[word] = ids
-                out += ids
+            if piece in self.special:
+                out.append(self.special[piece])
+            else:
+                out.extend(itertools.chain.from_iterable(map(self.cache.__getitem__, self.words.findall(piece))))
         return out
 
     def decode(self, ids: list[int]) -> str:
