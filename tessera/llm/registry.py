@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, quality_rules, sharding, simhash
+from tessera.llm import bpe, exact_dedup, quality_rules, secrets, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op4_simhash": simhash.op4_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_secrets": secrets.op6_secrets,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_bpe": bpe.op10_bpe,
     }
