@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, quality_rules, secrets, sharding, simhash
+from tessera.llm import bpe, exact_dedup, quality_rules, secrets, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op3_warc": warc.op3_warc,
         "op4_simhash": simhash.op4_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_secrets": secrets.op6_secrets,
