@@ -168,7 +168,10 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     order = [rule for rule, _, _ in plan_cascade(df, text, rules)]
     judged = Judged(df, text)
     rejected_by = judged.cascade(order)
-    return judged.df.where(rejected_by.isNull()).select(*[quoted(c) for c in df.columns])
+    # The row number keeps the filter above the measures: pushed below, it would repeat them once for each mention.
+    barrier = fresh(judged.df, "barrier")[0]
+    judged_rows = judged.df.withColumn(barrier, F.monotonically_increasing_id())
+    return judged_rows.where(rejected_by.isNull() & (F.col(barrier) >= 0)).select(*[quoted(c) for c in df.columns])
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
