@@ -1,49 +1,16 @@
-"""Shared helpers: the cluster's shared folder, lineage cuts, safe column names."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words everywhere in this subpackage: space, \t, \n, \v, \f, \r.
-SPACES = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return named or spark.sparkContext.getCheckpointDir()
+from tessera.runtime import cut, ship, shared_dir
 
+__all__ = ["SPACES", "cut", "documents", "fresh", "quoted", "shared_dir", "ship", "text_or_empty"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder; the result survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python can import it."""
-    if (app := spark.sparkContext.applicationId) in _shipped:
-        return
-    top = Path(__file__).resolve().parent.parent
-    with zipfile.ZipFile(to := Path(tempfile.mkdtemp(prefix="tessera-ship-")) / f"{top.name}.zip", "w") as z:
-        for path in top.rglob("*.py"):
-            z.write(path, path.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(to))
-    _shipped.add(app)
+#: Characters that separate words everywhere in this subpackage: space, \t, \n, \v, \f, \r.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

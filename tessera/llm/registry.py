@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, classifier, exact_dedup, packing, quality_rules, secrets, sharding, simhash, warc
+from tessera.llm import bpe, chat, classifier, exact_dedup, packing, quality_rules, secrets, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": simhash.op4_simhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_secrets": secrets.op6_secrets,
+        "op7_chat": chat.op7_chat,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_packing": packing.op9_packing,
         "op10_bpe": bpe.op10_bpe,
