@@ -19,11 +19,13 @@ name.
 from __future__ import annotations
 
 import heapq
-import itertools
 import json
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +34,11 @@ from pyspark.sql import types as T
 from tessera.llm.common import documents, quoted, ship, text_or_empty
 
 SHORT = 128  # bytes
-CACHE_WORDS = 400_000  # distinct words that a worker remembers
-BATCH_CHARS = 1 << 20  # of one batch of results
+CACHE_WORDS = 250_000  # distinct words in each of the two generations that a worker remembers
+BATCH_SIZE = 1 << 20  # bytes or ids that are converted at once
+
+ID_BITS = 20
+ID_MASK, NO_RANK = (1 << ID_BITS) - 1, 1 << 60
 
 #: Fixed value: the word pattern of byte-level pre-tokenization.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,16 +55,16 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Cache(dict):
-    """Ids by word, merged when first asked for. Two generations, so that frequent words outlive a full cache."""
+    """Ids by word, as packed 32-bit integers, merged when first asked for. Two generations, so that frequent words outlive a full cache."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge, self.old = merge, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = self.merge(word.encode("utf-8"))
+            ids = array("i", self.merge(word.encode("utf-8"))).tobytes()
             if len(word) > SHORT:
                 return ids
         if len(self) >= CACHE_WORDS:
@@ -82,11 +87,11 @@ class Tokenizer:
         self.id_of = {raw(token): i for token, i in model["vocab"].items()}
         self.bytes_of = {i: token for token, i in self.id_of.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        # A pair's rank, and the id of what it becomes, by the ids of its parts.
-        self.rank_of = {}
+        # A pair's rank in the high bits and the id of what it becomes in the low ones, by the ids of its parts.
+        self.rank_of: dict[int, int] = {}
         for rank, (a, b) in enumerate(pairs):
             a, b = raw(a), raw(b)
-            self.rank_of.setdefault((self.id_of[a], self.id_of[b]), (rank, self.id_of[a + b]))
+            self.rank_of.setdefault(self.id_of[a] << ID_BITS | self.id_of[b], rank << ID_BITS | self.id_of[a + b])
         self.byte_ids = [self.id_of[bytes([b])] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip")):
@@ -96,53 +101,63 @@ class Tokenizer:
         self.words = regex.compile(WORDS)
         self.cache = Cache(self.merge)
 
-    def merge(self, word: bytes) -> tuple[int, ...]:
+    def merge(self, word: bytes) -> list[int]:
         return self._scan(word) if len(word) <= SHORT else self._heap(word)
 
-    def _scan(self, word: bytes) -> tuple[int, ...]:
+    def _scan(self, word: bytes) -> list[int]:
         parts = [self.byte_ids[b] for b in word]
-        pair, none = self.rank_of, (1 << 60, -1)
-        ranks = [pair.get(p, none) for p in zip(parts, parts[1:])]
+        rank_of = self.rank_of.get
+        ranks = [rank_of(a << ID_BITS | b, NO_RANK) for a, b in zip(parts, parts[1:])]
         while ranks:
             best = min(ranks)
-            if best is none:
+            if best == NO_RANK:
                 break
             i = ranks.index(best)
-            parts[i : i + 2] = [best[1]]
-            del ranks[i]
+            became = parts[i] = best & ID_MASK
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pair.get((parts[i - 1], parts[i]), none)
+                ranks[i - 1] = rank_of(parts[i - 1] << ID_BITS | became, NO_RANK)
             if i < len(ranks):
-                ranks[i] = pair.get((parts[i], parts[i + 1]), none)
-        return tuple(parts)
+                ranks[i] = rank_of(became << ID_BITS | parts[i + 1], NO_RANK)
+        return parts
 
-    def _heap(self, word: bytes) -> tuple[int, ...]:
+    def _heap(self, word: bytes) -> list[int]:
         n, parts = len(word), [self.byte_ids[b] for b in word]
-        left, right, pair = list(range(-1, n - 1)), list(range(1, n + 1)), self.rank_of
-        heap = [(*r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := pair.get((a, b)))]
-        heapq.heapify(heap)
+        left, right, rank_of = list(range(-1, n - 1)), list(range(1, n + 1)), self.rank_of.get
+        heap: list[tuple[int, int, int]] = []
+
+        def push(i: int, j: int) -> None:
+            pair = parts[i] << ID_BITS | parts[j]
+            if (rank := rank_of(pair)) is not None:
+                heapq.heappush(heap, (rank, i, pair))
+
+        for i in range(n - 1):
+            push(i, i + 1)
         while heap:
-            _, became, i, a, b = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = right[i]
-            if parts[i] != a or j >= n or parts[j] != b:
-                continue
-            parts[i], parts[j], right[i] = became, -1, right[j]
-            if right[j] < n:
-                left[right[j]] = i
-                if r := pair.get((became, parts[right[j]])):
-                    heapq.heappush(heap, (*r, i, became, parts[right[j]]))
-            if (h := left[i]) >= 0 and (r := pair.get((parts[h], became))):
-                heapq.heappush(heap, (*r, h, parts[h], became))
-        return tuple(p for p in parts if p >= 0)
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+            if parts[i] < 0 or j >= n or parts[i] << ID_BITS | parts[j] != pair:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], right[i] = rank & ID_MASK, -1, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                push(i, right[i])
+            if left[i] >= 0:
+                push(left[i], i)
+        return [p for p in parts if p >= 0]
+
+    def encode_packed(self, text: str) -> bytes:
+        """The ids as packed 32-bit integers."""
+        out = []
         for piece in self.split.split(text) if self.split else [text]:
             if piece in self.special:
-                out.append(self.special[piece])
+                out.append(array("i", [self.special[piece]]).tobytes())
             else:
-                out.extend(itertools.chain.from_iterable(map(self.cache.__getitem__, self.words.findall(piece))))
-        return out
+                out += map(self.cache.__getitem__, self.words.findall(piece))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.encode_packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -165,48 +180,64 @@ def _source(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _with_column(df: DataFrame, name: str, kind: pa.DataType, spark_kind: T.DataType, convert) -> DataFrame:
-    """``df`` with ``name`` added or replaced by ``convert`` of its last column, which goes."""
+def _with_column(df: DataFrame, name: str, kind: T.DataType, convert) -> DataFrame:
+    """``df`` with ``name`` added or replaced by ``convert`` of its last column, an array at a time; that column goes."""
     given = df.schema.fields[:-1]
-    names = [f.name for f in given if f.name != name] + [name]
-    schema = T.StructType([*(f for f in given if f.name != name), T.StructField(name, spark_kind)])
     places = [i for i, f in enumerate(given) if f.name != name]
+    schema = T.StructType([*(given[i] for i in places), T.StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(len(given))
-            begin, chars = 0, 0
-            lengths = pa.compute.fill_null((pa.compute.binary_length if pa.types.is_string(values.type) else pa.compute.list_value_length)(values), 0).to_pylist()
-            for i, n in enumerate(lengths):
-                chars += n
-                if chars >= BATCH_CHARS or i == len(lengths) - 1:
-                    some = batch.slice(begin, i + 1 - begin)
-                    made = pa.array([convert(x) for x in some.column(len(given)).to_pylist()], kind)
-                    yield pa.RecordBatch.from_arrays([*(some.column(p) for p in places), made], names=names)
-                    begin, chars = i + 1, 0
+            sizes = pc.fill_null(pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values), 0)
+            upto, begin = np.cumsum(sizes.to_numpy(zero_copy_only=False)), 0
+            while begin < len(values):
+                done = int(upto[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto, done + BATCH_SIZE, "right")))
+                some = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*(some.column(p) for p in places), convert(some.column(len(given)))], names=schema.names)
+                begin = end
 
     return df.mapInArrow(run, schema)
 
 
+def _with_texts(df: DataFrame, text: str) -> DataFrame:
+    return df.select(*[quoted(c) for c in df.columns], text_or_empty(text).alias("_text"))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of its texts, an array of ints."""
     source = _source(df.sparkSession, path)
-    with_text = df.select(*[quoted(c) for c in df.columns], text_or_empty(text).alias("_text"))
-    return _with_column(with_text, ids, pa.list_(pa.int32()), T.ArrayType(T.IntegerType()), lambda x: tokenizer(source.value).encode(x))
+
+    def convert(texts: pa.Array) -> pa.Array:
+        encoder = tokenizer(source.value)
+        packed = [encoder.encode_packed(x) for x in texts.to_pylist()]
+        offsets = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    return _with_column(_with_texts(df, text), ids, T.ArrayType(T.IntegerType()), convert)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the texts of its token ids."""
     source = _source(df.sparkSession, path)
-    with_ids = df.select(*[quoted(c) for c in df.columns], quoted(ids).alias("_ids"))
-    return _with_column(with_ids, text, pa.string(), T.StringType(), lambda x: tokenizer(source.value).decode(x or []))
+
+    def convert(lists: pa.Array) -> pa.Array:
+        decoder = tokenizer(source.value)
+        return pa.array([decoder.decode([] if x.values is None else x.values.to_numpy().tolist()) for x in lists], pa.string())
+
+    return _with_column(df.select(*[quoted(c) for c in df.columns], quoted(ids).alias("_ids")), text, T.StringType(), convert)
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", tokens: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of its texts."""
     source = _source(df.sparkSession, path)
-    with_text = df.select(*[quoted(c) for c in df.columns], text_or_empty(text).alias("_text"))
-    return _with_column(with_text, tokens, pa.int64(), T.LongType(), lambda x: len(tokenizer(source.value).encode(x)))
+
+    def convert(texts: pa.Array) -> pa.Array:
+        encoder = tokenizer(source.value)
+        return pa.array([len(encoder.encode_packed(x)) // 4 for x in texts.to_pylist()], pa.int64())
+
+    return _with_column(_with_texts(df, text), tokens, T.LongType(), convert)
 
 
 def default_path() -> str:
