@@ -17,13 +17,17 @@ of their own. An empty table has no buckets and gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm import bpe
-from tessera.llm.common import cut, documents, quoted
+from tessera.llm.bpe import WORDS
+from tessera.llm.common import cut, documents, quoted, ship, text_or_empty
 
 BUCKETS = 16
 BUDGET = 65_536  # padded tokens of a batch
@@ -102,11 +106,30 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = BUCKETS, budget: i
     )
 
 
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def lengths(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, length``: tokens of the whole text and one separator."""
-    counted = bpe.count_tokens(docs.select(quoted(key), quoted(text).alias("_pack_text")), path, "_pack_text", "_tokens")
-    return counted.select(quoted(key), (F.col("_tokens") + 1).alias("length"))
+    """``key, length``: tokens of the whole text, by a file of byte-level ranks, and one separator."""
+    ship(docs.sparkSession)
+    with open(path, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # its size doesn't depend on the data
+
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
+
+        parsed = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.value.splitlines() if line)}
+        encoding = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=parsed, special_tokens={})
+        for texts in batches:
+            yield pd.Series([len(encoding.encode_ordinary(x)) + 1 for x in texts], dtype="int64")
+
+    return docs.select(quoted(key), F.pandas_udf(count, T.LongType())(text_or_empty(text)).alias("length"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    return pack(lengths(documents(spark, sf_dir), path or bpe.default_path()), "length", "doc_id")
+    return pack(lengths(documents(spark, sf_dir), path or default_path()), "length", "doc_id")
