@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, packing, quality_rules, secrets, simhash
+from tessera.llm import exact_dedup, packing, quality_rules, secrets, simhash
 from tessera.llm.common import documents, shared_dir
 
 
@@ -38,7 +38,7 @@ def scrub(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document: its length in tokens, bucket, batch and slot."""
-    return packing.pack(packing.lengths(docs, bpe.default_path()), "length", "doc_id")
+    return packing.pack(packing.lengths(docs, packing.default_path()), "length", "doc_id")
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("secret_scans", scrub), ("packing", pack)]
