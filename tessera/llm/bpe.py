@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import documents, quoted, ship, text_or_empty
+from tessera.llm.common import documents, fresh, quoted, ship, text_or_empty
 
 SHORT = 128  # bytes
 CACHE_WORDS = 250_000  # distinct words in each of the two generations that a worker remembers
@@ -202,7 +202,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, convert) -> DataFra
 
 
 def _with_texts(df: DataFrame, text: str) -> DataFrame:
-    return df.select(*[quoted(c) for c in df.columns], text_or_empty(text).alias("_text"))
+    return df.select(*[quoted(c) for c in df.columns], text_or_empty(text).alias(fresh(df, "text")[0]))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -226,7 +226,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         decoder = tokenizer(source.value)
         return pa.array([decoder.decode([] if x.values is None else x.values.to_numpy().tolist()) for x in lists], pa.string())
 
-    return _with_column(df.select(*[quoted(c) for c in df.columns], quoted(ids).alias("_ids")), text, T.StringType(), convert)
+    return _with_column(df.select(*[quoted(c) for c in df.columns], quoted(ids).alias(fresh(df, "ids")[0])), text, T.StringType(), convert)
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", tokens: str = "n_tokens") -> DataFrame:

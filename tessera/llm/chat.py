@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, quoted, ship, text_or_empty
+from tessera.llm.common import cut, quoted, ship, text_or_empty
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # role * 2 + (1 for later lines)
@@ -174,12 +174,11 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
 _KEYS = ["_conv", "_block", "_part"]
 
 
-def _laid_out(turns: DataFrame, conv: str, turn: str, text: str) -> DataFrame:
-    """``turns`` with the conversation's key, the block, its part, and the order inside it."""
-    spark_text = text_or_empty(text)
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """``conv, turn, text, others`` with the conversation's key, the block, its part, and the text's hash."""
     # Conversations without an id: one for each row.
-    key = F.coalesce(F.concat(F.lit("c"), quoted(conv).cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))
-    rows = turns.withColumns({"_conv": key, "_block": F.coalesce(F.floor(quoted(turn) / BLOCK), F.lit(-1)), "_text": spark_text, "_hash": F.xxhash64(spark_text)})
+    key = F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))
+    rows = rows.withColumns({"_conv": key, "_block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)), "_hash": F.xxhash64("text")})
     crowded = cut(rows.groupBy("_conv", "_block").count().where(F.col("count") > BLOCK).select("_conv", "_block", F.ceil(F.col("count") / BLOCK).alias("_parts")))
     if crowded.isEmpty():
         return rows.withColumn("_part", F.lit(0).cast("bigint"))
@@ -192,10 +191,13 @@ def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn
     spark = turns.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(hmm)
-    laid = _laid_out(turns, conv, turn, text)
-    order = [*_KEYS, turn, "_hash", "_text"]
+    kept = [c for c in turns.columns if c not in (text, "n_lines", "roles", "rendered")]
+    # The other columns travel as JSON, which keeps nulls that pandas would turn into floats.
+    others = F.to_json(F.struct(*[quoted(c) for c in kept]), {"ignoreNullFields": "false"})
+    laid = _laid_out(turns.select(quoted(conv).alias("conv"), quoted(turn).alias("turn"), text_or_empty(text).alias("text"), others.alias("others")))
+    order = [*_KEYS, "turn", "_hash", "text"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = lambda df: df.repartition(parts, *_KEYS).sortWithinPartitions(*[quoted(c).asc_nulls_first() for c in order])
+    sorted_rows = lambda df: df.repartition(parts, *_KEYS).sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
     shown = lambda texts: [features(x, True) for x in texts]
 
     # First pass, for conversations of several blocks only.
@@ -203,7 +205,7 @@ def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, rows in _runs(batches, _KEYS):
-            seen = model.value.emissions([f for fs in shown(rows["_text"]) for f in fs])
+            seen = model.value.emissions([f for fs in shown(rows["text"]) for f in fs])
             m = reduce_block(model.value, seen)
             start = viterbi_scores(model.value, seen) if rows["_first"].iloc[0] else []
             yield pd.DataFrame({"_conv": [key[0]], "_block": [key[1]], "_part": [key[2]], "m": [m.ravel().tolist()], "start": [list(start)]})
@@ -219,32 +221,27 @@ def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn
 
     known = blocks.repartition(parts, "_conv").sortWithinPartitions(*_KEYS).mapInPandas(chain, "_conv string, _block bigint, _part bigint, before int, at_end int")
 
-    kept = [c for c in turns.columns if c not in (text, "n_lines", "roles", "rendered")]
-    packed = fresh(turns, "row")[0]
-
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _runs(batches, _KEYS):
-            lines = shown(rows["_text"])
+            lines = shown(rows["text"])
             before, end = rows["before"].iloc[0], rows["at_end"].iloc[0]
             states = viterbi(model.value, model.value.emissions([f for fs in lines for f in fs]), None if pd.isna(before) or before < 0 else int(before), None if pd.isna(end) else int(end))
             at, made = 0, []
-            for text_, fs in zip(rows["_text"], lines, strict=True):
+            for text_, fs in zip(rows["text"], lines, strict=True):
                 own, at = states[at : at + len(fs)], at + len(fs)
                 # At the end of a block the next one's first line is unknown here: the turn counts as ended there.
                 goes_on = at < len(states) and states[at] % 2 == 1
                 made.append((len(fs), *render(text_, own, at == len(fs), goes_on)))
-            yield pd.DataFrame({packed: rows[packed].to_numpy(), "n_lines": [n for n, _, _ in made], "roles": [r for _, _, r in made], "rendered": [t for _, t, _ in made]})
+            yield pd.DataFrame({"others": rows["others"].to_numpy(), "n_lines": [n for n, _, _ in made], "roles": [r for _, _, r in made], "rendered": [t for _, t, _ in made]})
 
-    # The other columns travel as JSON, which keeps nulls that pandas would turn into floats.
-    carried = laid.withColumn(packed, F.to_json(F.struct(*[quoted(c) for c in kept]), {"ignoreNullFields": "false"}))
     if several.isEmpty():
-        placed = carried.withColumns({"before": F.lit(None).cast("int"), "at_end": F.lit(None).cast("int")})
+        placed = laid.withColumns({"before": F.lit(None).cast("int"), "at_end": F.lit(None).cast("int")})
     else:
-        placed = carried.join(known, _KEYS, "left")
-    rows = sorted_rows(placed.select(*order, packed, "before", "at_end"))
-    out = rows.mapInPandas(decode, f"`{packed}` string, n_lines int, roles array<string>, rendered string")
-    fields = F.from_json(F.col(packed), ", ".join(f"`{c.replace('`', '``')}` {turns.schema[c].dataType.simpleString()}" for c in kept))
-    return out.withColumn(packed, fields).select(*[F.col(packed)[c].alias(c) for c in kept], "n_lines", "roles", "rendered")
+        placed = laid.join(known, _KEYS, "left")
+    rows = sorted_rows(placed.select(*order, "others", "before", "at_end"))
+    out = rows.mapInPandas(decode, "others string, n_lines int, roles array<string>, rendered string")
+    fields = F.from_json("others", ", ".join(f"`{c.replace('`', '``')}` {turns.schema[c].dataType.simpleString()}" for c in kept))
+    return out.withColumn("others", fields).select(*[F.col("others")[c].alias(c) for c in kept], "n_lines", "roles", "rendered")
 
 
 def viterbi_scores(hmm: Hmm, shown: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.llm.bpe import WORDS
-from tessera.llm.common import cut, documents, quoted, ship, text_or_empty
+from tessera.llm.common import cut, documents, fresh, quoted, ship, text_or_empty
 
 BUCKETS = 16
 BUDGET = 65_536  # padded tokens of a batch
@@ -85,24 +85,21 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = BUCKETS, budget: i
     and row number.
     """
     names = [c for c in df.columns if c not in ("bucket", "bucket_length", "batch", "slot")]
-    slim = cut(df.select(*[quoted(c) for c in names], F.monotonically_increasing_id().alias("_row")))
-    ends = plan_buckets(slim, quoted(length), buckets)
-    if not ends:
-        ends = [1]
+    row, at_bucket, order, block, n, before = fresh(df, "row", "bucket", "order", "block", "n", "before")
+    slim = cut(df.select(*[quoted(c) for c in names], F.monotonically_increasing_id().alias(row)))
+    ends = plan_buckets(slim, quoted(length), buckets) or [1]
     limits = F.array(*[F.lit(e).cast("bigint") for e in ends])
-    bucket = F.size(F.filter(limits, lambda e: e < quoted(length)))
     blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // BLOCK_ROWS))
-    order = F.xxhash64(quoted(key), quoted(length), "_row")
-    placed = slim.withColumn("_bucket", bucket).withColumn("_order", order).withColumn("_block", F.pmod("_order", F.lit(blocks)))
-    counts = placed.groupBy("_bucket", "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket", "_block").orderBy("_order", "_row")
-    at = F.col("_before") + F.row_number().over(inside) - 1
-    capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.element_at(limits, F.col("_bucket") + 1)))
-    return placed.join(offsets, ["_bucket", "_block"]).select(
-        *[quoted(c) for c in names], F.col("_bucket").cast("int").alias("bucket"), F.element_at(limits, F.col("_bucket") + 1).alias("bucket_length"),
-        F.floor(at / capacity).cast("bigint").alias("batch"), (at % capacity).cast("bigint").alias("slot"),
+    placed = slim.withColumns({at_bucket: F.size(F.filter(limits, lambda e: e < quoted(length))), order: F.xxhash64(quoted(key), quoted(length), row)})
+    placed = placed.withColumn(block, F.pmod(order, F.lit(blocks)))
+    earlier = Window.partitionBy(at_bucket).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(at_bucket, block).agg(F.count("*").alias(n)).select(at_bucket, block, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    at = F.col(before) + F.row_number().over(Window.partitionBy(at_bucket, block).orderBy(order, row)) - 1
+    end = F.element_at(limits, F.col(at_bucket) + 1)
+    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / end))
+    return placed.join(offsets, [at_bucket, block]).select(
+        *[quoted(c) for c in names], F.col(at_bucket).cast("int").alias("bucket"), end.alias("bucket_length"),
+        F.floor(at / room).cast("bigint").alias("batch"), (at % room).cast("bigint").alias("slot"),
     )
 
 
