@@ -37,7 +37,7 @@ TRAIN_ROWS = 3000  # of each label
 STRETCH = 4096  # characters of a training row
 DICTIONARY = 112 << 10  # bytes
 LEVEL = 3
-PIECE = 4096  # bytes
+PIECE = 1024  # bytes
 CUT = 0.7  # least score predicted 1
 FOLDS, HELD_OUT = 4, 2
 
