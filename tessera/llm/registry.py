@@ -26,5 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": warc.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
+        "op8_quality_rules": quality_rules.SQL,
     }

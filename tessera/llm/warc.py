@@ -310,3 +310,15 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     archives = write(plan(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     return records(entries(archives), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
+d AS (SELECT *, array_to_string(list_transform(string_split(sha1(payload), ''), lambda h: lpad(bin(('0x' || h)::INT), 4, '0')), '') AS bits FROM p)
+SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 160, 5), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         list_sum(list_transform(range(1, 6), lambda j: substr(bits, (k + j)::BIGINT, 1)::INT * (1 << (5 - j))))::BIGINT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""

@@ -1,10 +1,11 @@
 import base64
 
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
-from tessera.llm import bpe, exact_dedup, packing
+from tessera.llm import bpe, packing
 
 
 def test_pipeline_against_brute_force(spark, small):
@@ -28,7 +29,7 @@ def test_stages_keep_columns_and_meet_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (None, "word " * 60, "y"), (3, "a b c", None)]
     good = " ".join(f"word{i}" for i in range(80))
     rows += [(4, good, "x"), (5, good, "x"), (6, good + "  ", "x"), (6, good + "  ", "x"), (7, good + " password=abcdefgh12", "z")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("digest", spark.sql("select 1 as x").schema and __import__("pyspark").sql.functions.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("digest", F.lit(1))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns, k
@@ -38,12 +39,3 @@ def test_stages_keep_columns_and_meet_edges(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
-
-
-def test_exact_dedup_sql(spark, small):
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS FROM '{small}/documents.parquet'")
-    cols = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    assert sorted(tuple(r[c] for c in cols) for r in exact_dedup.op5_exact_dedup(spark, small).collect()) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({exact_dedup.SQL})").fetchall())
