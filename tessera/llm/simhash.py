@@ -41,6 +41,8 @@ SHINGLE = 4
 THRESHOLD = 4
 SEED = 42
 
+HOT_COMPONENTS = 1000
+
 #: From this many members on, an anchor is walked instead of compared all against all.
 LARGE_ANCHOR = 256
 
@@ -282,8 +284,14 @@ def memberships(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     prints = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(prints.select("fp"), threshold)).withColumnRenamed("node", "fp")
     named = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = named.join(ids, "root").select("fp", "component_id")
+    named = cut(named.select("fp", "least_id", "root"))
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    # At most HOT_COMPONENTS components hold at least one in HOT_COMPONENTS of the fingerprints: these are broadcast.
+    least = max(2, -(-named.count() // HOT_COMPONENTS))
+    looked = named.join(F.broadcast(ids.where(F.col("n") >= least)), "root", "left")
+    some = looked.where("n is not null").select("fp", "component_id")
+    rest = looked.where("n is null").select("fp", "root").join(ids.where(F.col("n") < least).select("root", "component_id"), "root")
+    of = some.unionByName(rest.select("fp", "component_id"))
     return slim.join(of, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
