@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.predicate import column
-from tessera.functions.text import value_text
 from tessera.plans.model import BOOLEAN, DATE, DATE_PATTERN, NESTED, NULL, NUMBER, STRING, Field, FieldStats, Schema, physical_kind
 
 CARDINALITY_CAP = 10_000
@@ -19,9 +18,12 @@ SKIP_NAMES = ("_uri", "_url", "_id", "uri", "url", "href", "link", "hash", "toke
 ALLOW_NAMES = ("category", "type", "status", "state", "level", "color", "lang", "rarity", "set", "frame")
 
 
-def _text(df: DataFrame, name: str):
-    kind = df.schema[name].dataType
-    return F.to_json(column(name)) if physical_kind(kind) == NESTED else value_text(column(name), kind)
+def _value(df: DataFrame, name: str):
+    """What makes values of a field distinct."""
+    kind, c = df.schema[name].dataType, column(name)
+    if physical_kind(kind) == NESTED:
+        return F.to_json(c)
+    return c + F.lit(0.0) if isinstance(kind, (T.DoubleType, T.FloatType)) else c  # -0.0 is 0.0
 
 
 def field_stats(df: DataFrame, ordinal: str | None = None, cap: int | None = CARDINALITY_CAP, samples: bool = True) -> tuple[int, dict[str, tuple[str, FieldStats]]]:
@@ -36,7 +38,7 @@ def field_stats(df: DataFrame, ordinal: str | None = None, cap: int | None = CAR
     aggs = [F.count("*").alias("rows")]
     for i, n in enumerate(names):
         c = column(n)
-        aggs += [F.count_if(c.isNull()).alias(f"null{i}"), F.approx_count_distinct(_text(df, n), 0.02).alias(f"about{i}")]
+        aggs += [F.count_if(c.isNull()).alias(f"null{i}"), F.approx_count_distinct(_value(df, n), 0.02).alias(f"about{i}")]
         if kinds[n] in (NUMBER, STRING, DATE):
             aggs += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")]
         if kinds[n] == STRING:
@@ -45,7 +47,9 @@ def field_stats(df: DataFrame, ordinal: str | None = None, cap: int | None = CAR
     row = df.agg(*aggs).collect()[0].asDict()
     rows = row["rows"]
     exact = [i for i in range(len(names)) if cap is None or row[f"about{i}"] <= 1.2 * cap]
-    counted = df.agg(*[F.count_distinct(_text(df, names[i])).alias(f"n{i}") for i in exact]).collect()[0].asDict() if exact else {}
+    # Sets are bounded by the cap; counting all fields' values in one aggregate would expand every row for each field.
+    distinct = F.count_distinct if cap is None else lambda c: F.size(F.collect_set(c))
+    counted = df.agg(*[distinct(_value(df, names[i])).alias(f"n{i}") for i in exact]).collect()[0].asDict() if exact else {}
     out = {}
     for i, n in enumerate(names):
         kind = kinds[n]
