@@ -7,18 +7,21 @@ transition and emission probabilities are counted, with smoothing, on a bounded
 Viterbi then finds the likeliest states, and each run of lines becomes a canonical turn, marker removed:
 ``<|role|>\n...<|end|>\n``.
 
-Conversations are read in blocks of ``BLOCK`` turn numbers, so that none is gathered whole. Viterbi over
-several blocks is exact: a first pass reduces every block of such a conversation to its max-plus matrix
-(the best score from each state at the end of the block before to each state at its own end), these few
-numbers are followed along the conversation, and a second pass decodes every block between the states
-found. A block that repeats or skips turn numbers and so holds over ``BLOCK`` rows is divided by a hash of
-the text, which then comes before the turn number in its order.
+Conversations are read in blocks of ``BLOCK`` turn numbers, so that none is gathered whole. A block that
+repeats turn numbers and so holds over ``BLOCK`` rows is divided into parts of at most that many rows, each
+contiguous in the order of turn, the text's hash and row number. Viterbi over several blocks is exact: a
+first pass reduces every block of such a conversation to its max-plus matrix (the best score from each state
+at the end of the block before to each state at its own end) with the first state and the order of the best
+paths, these few numbers are followed along the conversation, and a second pass decodes every block between
+the states found, also knowing whether the next block goes on with its last turn. Scores are multiples of
+``GRID``, whose sums are exact, and equal paths are told apart from the end backwards by the lesser state, so
+blocks give what one piece gives.
 
 Bound: the model is fitted on the first ``TRAIN_TURNS`` turns in the order of a hash of conv_id, over all
 conversations that are not held out (crc32(conv_id as text) mod 4 is 2).
 
 Defined cases: a null text is one empty line. A null conv_id is a conversation of its own for each row; a
-null turn comes first. Rows equal in conv_id, turn and text follow one another in any order. Roles other
+null turn comes first. Rows equal in conv_id, turn and the text's hash follow one another in any order. Roles other
 than the three known ones train nothing. Without labelled turns all states are equally likely at first.
 An empty table gives an empty result.
 """
@@ -41,6 +44,7 @@ STATES = 2 * len(ROLES)  # role * 2 + (1 for later lines)
 BLOCK = 4096
 TRAIN_TURNS = 20_000
 SMOOTHING = 0.1
+GRID = 2.0**-20
 
 #: Speaker markers by role; a line that starts with one and a colon shows it.
 MARKERS = {"system": ("system", "sys", "instructions"), "user": ("user", "human", "q", "me", "customer"), "assistant": ("assistant", "ai", "bot", "a", "agent")}
@@ -98,16 +102,26 @@ def fit(turns: pd.DataFrame) -> Hmm:
             if a // 2 != role:
                 moves[a, 2 * role + 1] = 1e-12
     start[1::2] = 1e-12
-    log = lambda m: np.log(m / m.sum(axis=-1, keepdims=True))
+    log = lambda m: np.round(np.log(m / m.sum(axis=-1, keepdims=True)) / GRID) * GRID
     return Hmm(log(start), log(moves), tuple(log(t) for t in shows))
 
 
+def reduce_paths(hmm: Hmm, shown: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(S, S) each, from the state just before the block to that at its end: the best path's score, its first state, and its place among those with the same end, by the lesser state from the end backwards."""
+    every = np.arange(STATES)
+    best, first, place = hmm.moves + shown[0], np.tile(every, (STATES, 1)), np.tile(every[:, None], (1, STATES))
+    for row in shown[1:]:
+        total = best[:, :, None] + hmm.moves[None]
+        last = total.argmax(axis=1)
+        best = total.max(axis=1) + row
+        first = np.take_along_axis(first, last, axis=1)
+        place = (last * STATES + np.take_along_axis(place, last, axis=1)).argsort(axis=0, kind="stable").argsort(axis=0)
+    return best, first, place
+
+
 def reduce_block(hmm: Hmm, shown: np.ndarray) -> np.ndarray:
     """(S, S): the best score from each state just before the block to each state at its end."""
-    best = hmm.moves + shown[0]
-    for row in shown[1:]:
-        best = (best[:, :, None] + hmm.moves[None]).max(axis=1) + row
-    return best
+    return reduce_paths(hmm, shown)[0]
 
 
 def viterbi(hmm: Hmm, shown: np.ndarray, before: int | None = None, at_end: int | None = None) -> np.ndarray:
@@ -125,14 +139,17 @@ def viterbi(hmm: Hmm, shown: np.ndarray, before: int | None = None, at_end: int
     return out
 
 
-def follow(hmm: Hmm, first: np.ndarray, others: list[np.ndarray]) -> list[tuple[int | None, int]]:
-    """(state before, state at the end) of each block, from the first block's end scores and the others' matrices."""
-    scores = [first]
+def follow(hmm: Hmm, first: np.ndarray, others: list[np.ndarray], places: list[np.ndarray] | None = None) -> list[tuple[int | None, int]]:
+    """(state before, state at the end) of each block, from the first block's end scores and the others' matrices; ``places`` decide between equal paths."""
+    scores = [first - first.max()]  # the differences matter: small numbers stay exact
     for m in others:
-        scores.append((scores[-1][:, None] + m).max(axis=0))
+        score = (scores[-1][:, None] + m).max(axis=0)
+        scores.append(score - score.max())
     ends = [int(scores[-1].argmax())]
     for k in range(len(others) - 1, -1, -1):
-        ends.append(int((scores[k] + others[k][:, ends[-1]]).argmax()))
+        total = scores[k] + others[k][:, ends[-1]]
+        order = np.arange(STATES) if places is None else places[k][:, ends[-1]]
+        ends.append(int(np.where(total == total.max(), order, STATES).argmin()))
     ends.reverse()
     return [(None if k == 0 else ends[k - 1], e) for k, e in enumerate(ends)]
 
@@ -179,11 +196,20 @@ def _laid_out(rows: DataFrame) -> DataFrame:
     # Conversations without an id: one for each row.
     key = F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.concat(F.lit("r"), F.monotonically_increasing_id().cast("string")))
     rows = rows.withColumns({"_conv": key, "_block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)), "_hash": F.xxhash64("text")})
-    crowded = cut(rows.groupBy("_conv", "_block").count().where(F.col("count") > BLOCK).select("_conv", "_block", F.ceil(F.col("count") / BLOCK).alias("_parts")))
+    crowded = cut(rows.groupBy("_conv", "_block").count().where(F.col("count") > BLOCK).select("_conv", "_block"))
     if crowded.isEmpty():
         return rows.withColumn("_part", F.lit(0).cast("bigint"))
-    part = F.coalesce(F.pmod("_hash", "_parts"), F.lit(0))
-    return rows.join(crowded, ["_conv", "_block"], "left").withColumn("_part", part).drop("_parts")
+    # Positions in the whole order: that of each sorted range in front, then that within it. The row number spreads equal rows.
+    order = ["_conv", "_block", "turn", "_hash", "_row"]
+    hot = rows.join(crowded, ["_conv", "_block"], "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = cut(hot.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_row"))
+    hot = hot.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    sizes = {r["_range"]: r["count"] for r in hot.groupBy("_range").count().collect()}
+    starts = [sum(n for k, n in sizes.items() if k < i) for i in range(max(sizes) + 1)]
+    position = F.get(F.lit(starts).cast("array<bigint>"), F.col("_range")) + F.col("_at")
+    hot = hot.withColumn("_part", F.floor(position / BLOCK)).drop("_range", "_at")
+    return rows.join(crowded, ["_conv", "_block"], "left_anti").withColumn("_part", F.lit(0).cast("bigint")).unionByName(hot)
 
 
 def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -206,39 +232,40 @@ def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, rows in _runs(batches, _KEYS):
             seen = model.value.emissions([f for fs in shown(rows["text"]) for f in fs])
-            m = reduce_block(model.value, seen)
+            m, to, place = reduce_paths(model.value, seen)
             start = viterbi_scores(model.value, seen) if rows["_first"].iloc[0] else []
-            yield pd.DataFrame({"_conv": [key[0]], "_block": [key[1]], "_part": [key[2]], "m": [m.ravel().tolist()], "start": [list(start)]})
+            yield pd.DataFrame({"_conv": [key[0]], "_block": [key[1]], "_part": [key[2]], "m": [m.ravel().tolist()], "to": [to.ravel().tolist()], "place": [place.ravel().tolist()], "start": [list(start)]})
 
     long_rows = laid.join(several.select("_conv", "first"), "_conv").withColumn("_first", F.struct("_block", "_part") == F.col("first"))
-    blocks = sorted_rows(long_rows.select(*order, "_first")).mapInPandas(summarise, "_conv string, _block bigint, _part bigint, m array<double>, start array<double>")
+    blocks = sorted_rows(long_rows.select(*order, "_first")).mapInPandas(summarise, "_conv string, _block bigint, _part bigint, m array<double>, to array<tinyint>, place array<tinyint>, start array<double>")
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _runs(batches, ["_conv"]):
-            matrices = [np.array(m).reshape(STATES, STATES) for m in rows["m"].iloc[1:]]
-            found = follow(model.value, np.array(rows["start"].iloc[0]), matrices)
-            yield rows[_KEYS].assign(before=[-1 if b is None else b for b, _ in found], at_end=[e for _, e in found])
+            m, to, place = ([np.array(x).reshape(STATES, STATES) for x in rows[c].iloc[1:]] for c in ("m", "to", "place"))
+            found = follow(model.value, np.array(rows["start"].iloc[0]), m, place)
+            goes_on = [int(x[b, e] % 2) for x, (b, e) in zip(to, found[1:], strict=True)]
+            yield rows[_KEYS].assign(before=[-1 if b is None else b for b, _ in found], at_end=[e for _, e in found], goes_on=[*goes_on, 0])
 
-    known = blocks.repartition(parts, "_conv").sortWithinPartitions(*_KEYS).mapInPandas(chain, "_conv string, _block bigint, _part bigint, before int, at_end int")
+    known = blocks.repartition(parts, "_conv").sortWithinPartitions(*_KEYS).mapInPandas(chain, "_conv string, _block bigint, _part bigint, before int, at_end int, goes_on int")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, rows in _runs(batches, _KEYS):
             lines = shown(rows["text"])
             before, end = rows["before"].iloc[0], rows["at_end"].iloc[0]
-            states = viterbi(model.value, model.value.emissions([f for fs in lines for f in fs]), None if pd.isna(before) or before < 0 else int(before), None if pd.isna(end) else int(end))
+            opens, next_on = pd.isna(before) or before < 0, rows["goes_on"].iloc[0] == 1
+            states = viterbi(model.value, model.value.emissions([f for fs in lines for f in fs]), None if opens else int(before), None if pd.isna(end) else int(end))
             at, made = 0, []
             for text_, fs in zip(rows["text"], lines, strict=True):
                 own, at = states[at : at + len(fs)], at + len(fs)
-                # At the end of a block the next one's first line is unknown here: the turn counts as ended there.
-                goes_on = at < len(states) and states[at] % 2 == 1
-                made.append((len(fs), *render(text_, own, at == len(fs), goes_on)))
+                goes_on = states[at] % 2 == 1 if at < len(states) else next_on
+                made.append((len(fs), *render(text_, own, opens and at == len(fs), goes_on)))
             yield pd.DataFrame({"others": rows["others"].to_numpy(), "n_lines": [n for n, _, _ in made], "roles": [r for _, _, r in made], "rendered": [t for _, t, _ in made]})
 
     if several.isEmpty():
-        placed = laid.withColumns({"before": F.lit(None).cast("int"), "at_end": F.lit(None).cast("int")})
+        placed = laid.withColumns({c: F.lit(None).cast("int") for c in ("before", "at_end", "goes_on")})
     else:
         placed = laid.join(known, _KEYS, "left")
-    rows = sorted_rows(placed.select(*order, "others", "before", "at_end"))
+    rows = sorted_rows(placed.select(*order, "others", "before", "at_end", "goes_on"))
     out = rows.mapInPandas(decode, "others string, n_lines int, roles array<string>, rendered string")
     fields = F.from_json("others", ", ".join(f"`{c.replace('`', '``')}` {turns.schema[c].dataType.simpleString()}" for c in kept))
     return out.withColumn("others", fields).select(*[F.col("others")[c].alias(c) for c in kept], "n_lines", "roles", "rendered")

@@ -385,6 +385,20 @@ def test_blocks_of_long_conversations(spark, turns, monkeypatch):
     assert same > 0.5 * len(parts)
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_divided_conversations_equal_undivided_ones(spark, turns, monkeypatch, marked):
+    hmm = chat.train(turns)
+    texts = ["Hello there", "What is it?", "a\n\nb", "User: yo" if marked else "yo", "It is a long answer about oak and elm, in one line.", "same"]
+    # Turns 0 to 59 in order, some repeated often, and a short conversation.
+    rows = [(1, t, "user", texts[(t * t) % 6]) for t in range(60)] + [(1, 20, "user", "same")] * 50 + [(1, 45, "user", f"q {i % 9}?\nand more") for i in range(40)] + [(2, t, "user", texts[t % 6]) for t in range(5)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    read = lambda: sorted((r["conv_id"], r["turn"], r["rendered"]) for r in chat.recover(df, hmm).collect())
+    whole = read()
+    for block in (7, 30, 100):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        assert read() == whole
+
+
 def test_chat_edges(spark, turns):
     rows = [(1, 1, "user", None, "x"), (None, None, None, "hi", None), (None, 1, "user", "User: yo", "z"), (1, None, "odd", "a\n\nb", "x"), (1, 1, "user", None, "x"), (2, 0, "user", LONG, "y")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, rendered string").withColumn("_text", F.lit("own"))
