@@ -5,15 +5,21 @@ value of 6 or more characters), ``access`` (``AKIA`` and capitals or digits, 20
 (24 or more of ``0-9a-f``). The span of ``assign`` is the whole match.
 
 The method adds spans of kind ``random``. Candidates are runs of 20 or more base64 or base64url
-characters. Each is read in its inferred encoding (hex, base32, alphanumeric, base64) and tested
+characters. Each is read in its inferred encoding (hex, letters of one case, base32, base36, alphanumeric,
+base64) and tested
   - for uniform use of the alphabet, by chi-squared,
   - for runs below and above the alphabet's middle, by Wald and Wolfowitz,
   - for serial correlation of neighbouring symbols.
 A candidate must pass all three at level ``ALPHA``. Against it stands the hypothesis of ordinary text, in
 which neighbours seldom change between lower case, upper case and digits: at most with probability
-``CHANGES``. Its p-value is Chernoff's bound on that many changes, which is never too small. Over the whole
+``CHANGES``. Its p-value is Chernoff's bound on that many changes, which is never too small. Candidates with
+letters of one case only, in which such changes are few even at random, have another: the likelihood of
+ordinary text, whose letters follow one another as in ``PAIRS``, over that of uniform use of the encoding's
+alphabet and over the number of ``ALPHABETS``; by Markov's inequality this is never too small either. A
+candidate that fails a test has p = 1, so that the tests and the p-value are one rule. Over the whole
 corpus the candidates of each length band are then held to a false-discovery rate of ``FDR`` by Benjamini
-and Hochberg's rule on a grid of p-values, so short candidates, of which ordinary text has many, need
+and Hochberg's rule on a grid of these p-values. All candidates count there, since leaving out those that
+fail would make the others' p-values too small. Short candidates, of which ordinary text has many, need
 stronger evidence than long ones. Only counts by band and grid step reach the driver: at most
 ``len(BANDS) * (STEPS + 1)`` rows.
 
@@ -44,16 +50,52 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 ALPHA = 0.001
 CHANGES = 0.15
+ALPHABETS = 8  # of one case: hex, letters, base32 and base36, lower or upper
 FDR = 0.01
 BANDS = (20, 28, 40, 64, 128)  # least lengths
 STEPS, STEP = 160, 0.25  # of -log10 p
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Fixed values: -10 ln of the probability of a to z, rounded down, first for any place, then after each of a to z. Counted,
+#: with smoothing, in the sources of Python's library and common licences.
+PAIRS = """
+27 39 32 32 22 34 38 34 25 51 46 30 35 27 26 35 53 26 26 24 35 44 42 47 40 52
+45 33 30 33 40 46 36 48 31 53 44 23 29 18 44 36 53 19 27 20 38 41 47 48 40 53
+28 48 40 44 19 48 46 47 22 30 52 20 46 44 28 44 53 31 31 39 19 52 52 51 25 51
+26 50 40 46 18 47 50 26 31 53 32 26 45 44 14 45 53 35 40 22 32 50 50 53 48 53
+23 45 43 35 11 45 47 46 15 51 50 39 45 42 25 47 53 36 34 39 30 44 49 51 45 53
+32 43 30 24 32 34 42 48 40 53 50 26 35 20 41 37 45 18 22 27 48 40 46 32 44 53
+29 50 45 42 30 31 49 49 15 54 53 34 47 43 15 45 53 22 37 21 31 52 51 53 37 54
+34 49 40 47 15 47 44 18 27 54 53 32 38 26 33 31 54 25 26 39 32 48 50 53 49 50
+20 50 47 47 09 49 50 48 22 54 52 45 47 42 23 49 54 39 43 23 43 52 51 53 49 54
+33 33 25 37 32 30 32 49 43 53 50 29 32 17 24 42 53 37 21 23 48 39 52 48 51 46
+22 46 36 35 10 45 47 48 31 49 43 45 47 41 20 34 48 39 35 41 24 52 49 53 49 53
+23 50 41 40 11 46 42 40 22 52 48 30 46 31 32 42 52 38 25 36 35 50 32 52 47 49
+24 48 45 35 17 24 45 48 15 54 51 25 48 43 26 45 54 43 30 33 30 48 50 52 36 52
+17 36 46 41 13 48 50 49 24 54 51 41 34 43 22 23 54 43 29 40 35 52 51 52 48 54
+28 49 28 20 23 40 24 48 32 53 45 41 48 39 23 45 53 44 22 19 35 44 51 53 34 53
+42 39 34 29 40 24 43 48 41 52 47 35 30 17 39 28 54 17 32 27 28 37 38 51 50 52
+22 50 43 43 19 47 49 42 31 54 50 23 47 43 24 32 53 20 36 27 28 48 49 53 23 54
+44 50 47 44 41 48 50 49 42 52 53 36 49 40 41 47 52 36 39 40 03 50 51 53 51 54
+24 48 35 40 15 44 34 48 20 53 41 43 32 31 24 40 54 31 29 29 39 43 45 53 35 53
+35 50 36 44 12 46 46 32 24 53 46 41 45 43 24 34 52 39 25 18 31 50 49 52 39 53
+26 49 43 44 20 45 50 14 20 53 50 42 46 41 26 43 54 26 31 35 33 52 35 52 33 52
+38 30 34 32 27 41 43 49 35 52 50 25 29 22 43 32 54 20 22 18 48 52 51 46 51 51
+17 50 45 47 07 48 48 48 19 54 52 47 43 43 37 48 54 43 44 43 49 52 50 51 50 53
+13 50 46 43 26 47 50 25 13 54 53 38 49 35 26 48 53 28 38 43 49 52 36 52 50 54
+29 45 17 43 24 41 50 45 27 54 53 40 42 45 41 20 54 43 39 13 47 51 51 41 43 49
+36 46 42 44 30 45 45 47 33 54 51 41 38 35 19 21 54 13 23 24 45 50 42 53 49 50
+23 46 46 47 08 46 50 39 19 53 49 32 36 40 31 48 54 42 40 41 42 52 48 52 43 34
+"""
 #: (pattern of the whole candidate, alphabet); the first that fits counts.
 ENCODINGS = (
     ("[0-9a-f]+", _DIGITS + "abcdef"),
     ("[0-9A-F]+", _DIGITS + "ABCDEF"),
+    ("[a-z]+", _LOWER),
+    ("[A-Z]+", _UPPER),
     ("[A-Z2-7]+", _UPPER + "234567"),
+    ("[0-9a-z]+", _DIGITS + _LOWER),
+    ("[0-9A-Z]+", _DIGITS + _UPPER),
     ("[0-9A-Za-z]+", _DIGITS + _UPPER + _LOWER),
     ("[0-9A-Za-z+/]+", _UPPER + _LOWER + _DIGITS + "+/"),
 )
@@ -108,12 +150,31 @@ def looks_random(token: str) -> str:
     return _let("w", f"translate({token}, '-_', '+/')", f"CASE {branches} ELSE false END")
 
 
+def _costs() -> list[int]:
+    """-100 ln of a symbol's probability in ordinary text at 37 * (place of the symbol before, 0 for none) + its place in letters and digits, from 1."""
+    pairs = [[int(x) for x in line.split()] for line in PAIRS.split("\n") if line]
+
+    def cost(before: int, i: int) -> int:
+        digit, was_digit = i > 26, before > 26
+        kind = 0.5 if not before else CHANGES if digit != was_digit else 1 - CHANGES
+        return int(-100 * math.log(kind) + (100 * math.log(10) if digit else 10 * pairs[0 if was_digit else before][i - 1]))
+
+    return [cost(before, i) if i else 0 for before in range(37) for i in range(37)]
+
+
 def unlikely_text(token: str) -> str:
-    """SQL: -log10 of the p-value of ordinary text, from the changes between lower case, capitals and digits."""
+    """SQL: -log10 of the p-value of ordinary text."""
     kinds = f"translate({token}, '{_DIGITS}{_LOWER}{_UPPER}+/_-', '{'0' * 10 + 'a' * 26 + 'A' * 26}')"
     changes = "double(regexp_count(k, '(?<=0)[aA]|(?<=a)[0A]|(?<=A)[0a]'))"
     bound = f"(CASE WHEN f >= 1 THEN -ln({CHANGES}D) ELSE f * ln(f / {CHANGES}D) + (1 - f) * ln((1 - f) / {1 - CHANGES!r}D) END)"
-    return _let("k", kinds, f"CASE WHEN length(k) < 2 THEN 0D ELSE {_let('f', f'{changes} / (length(k) - 1)', f'CASE WHEN f <= {CHANGES}D THEN 0D ELSE (length(k) - 1) * {bound} / ln(10D) END')} END")
+    mixed = _let("k", kinds, f"CASE WHEN length(k) < 2 THEN 0D ELSE {_let('f', f'{changes} / (length(k) - 1)', f'CASE WHEN f <= {CHANGES}D THEN 0D ELSE (length(k) - 1) * {bound} / ln(10D) END')} END")
+    places = f"transform(split(lower({token}), ''), c -> locate(c, '{_LOWER + _DIGITS}'))"
+    table = "array(" + ",".join(map(str, _costs())) + ")"
+    cost = _let("v", places, f"aggregate(transform(v, (x, i) -> get({table}, 37 * coalesce(get(v, i - 1), 0) + x)), 0, (a, x) -> a + x)")
+    sizes = (("[0-9a-f]+", 16), ("[0-9A-F]+", 16), ("[a-z]+", 26), ("[A-Z]+", 26), ("[A-Z2-7]+", 32))
+    size = "CASE " + " ".join(f"WHEN {token} RLIKE '^{p}$' THEN {k}" for p, k in sizes) + " ELSE 36 END"
+    one_case = f"greatest(0D, ({cost} / 100D - length({token}) * ln({size}) - {math.log(ALPHABETS)!r}D) / ln(10D))"
+    return f"CASE WHEN {token} RLIKE '^[0-9a-z]+$|^[0-9A-Z]+$' THEN {one_case} ELSE {mixed} END"
 
 
 def _band(length: str) -> str:
@@ -133,7 +194,7 @@ def _scanned(df: DataFrame, text: str, base: str, candidates: str) -> DataFrame:
 
 def _limits(df: DataFrame, candidates: str) -> dict[int, int]:
     """The least step of each band at which the false-discovery rate holds; bands without any are left out."""
-    rows = df.select(F.explode(quoted(candidates)).alias("c")).groupBy("c.band", "c.step").count().collect()
+    rows = df.select(F.explode(quoted(candidates)).alias("c")).groupBy("c.band", F.expr("IF(c.ok, c.step, 0)").alias("step")).count().collect()
     out = {}
     for band in {r["band"] for r in rows}:
         counts = {r["step"]: r["count"] for r in rows if r["band"] == band}

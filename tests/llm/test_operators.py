@@ -331,6 +331,16 @@ def test_redaction(spark):
     assert secrets.redact(docs(spark, [])).count() == 0 and secrets.scan(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("alphabet, n", [("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64), ("abcdefghijklmnopqrstuvwxyz", 32), ("0123456789ABCDEF", 32), ("abcdefghijklmnopqrstuvwxyz0123456789", 32)])
+def test_random_tokens_of_one_class_are_found(spark, alphabet, n):
+    rng = random.Random(9)
+    words = ["the", "HttpServletRequestFactoryBeanAdapterImpl", "internationalizationconfiguration", "src/main/java/org/example/Foo2Bar", "order-2023-11-26-item-42-abc", "Donaudampfschifffahrtsgesellschaft", "MAXIMUM_NUMBER_OF_CONNECTIONS"]
+    rows = [(i, f"{' '.join(rng.choice(words) for _ in range(3))} {''.join(rng.choice(alphabet) for _ in range(n))} end") for i in range(100)] + [(100 + i, " ".join(words)) for i in range(200)]
+    found = secrets.scan(docs(spark, rows, False)).select("doc_id", F.expr(secrets.joined("spans")).alias("s")).collect()
+    assert sum(bool(r["s"]) for r in found if r["doc_id"] < 100) >= 95 and not any(r["s"] for r in found if r["doc_id"] >= 100)
+    assert all(r["s"].count("random") <= 1 for r in found)
+
+
 def test_op6(spark, small):
     for r in secrets.op6_secrets(spark, small).join(spark.read.parquet(f"{small}/documents.parquet"), "doc_id").collect():
         base = brute.base_spans(r["text"])
