@@ -23,7 +23,7 @@ fail would make the others' p-values too small. Short candidates, of which ordin
 stronger evidence than long ones. Only counts by band and grid step reach the driver: at most
 ``len(BANDS) * (STEPS + 1)`` rows.
 
-Random spans that touch a base span are dropped; base spans stay.
+Candidates are cut at base spans, which stay; each remaining piece of 20 or more characters is a candidate.
 
 All of it is Spark expressions; positions are code points, end exclusive, and come from the lengths of
 matches and of the pieces between them.
@@ -181,6 +181,15 @@ def _band(length: str) -> str:
     return "CASE " + " ".join(f"WHEN {length} >= {b} THEN {b}" for b in reversed(BANDS)) + " END"
 
 
+def _pieces(found: str, base: str) -> str:
+    """SQL: array of (s, e, w): what base spans leave of the matches in pieces of ``BANDS[0]`` or more characters."""
+    gap = "named_struct('at', greatest(a.at, b.e), 'out', IF(b.s > a.at, array_append(a.out, named_struct('s', a.at, 'e', b.s)), a.out))"
+    over = f"filter({base}, b -> b.s < x.e AND x.s < b.e)"
+    gaps = f"aggregate({over}, named_struct('at', x.s, 'out', cast(array() as array<struct<s:int,e:int>>)), (a, b) -> {gap}, a -> array_append(a.out, named_struct('s', a.at, 'e', x.e)))"
+    cut_up = f"transform(filter({gaps}, g -> g.e - g.s >= {BANDS[0]}), g -> named_struct('s', g.s, 'e', g.e, 'w', substring(x.w, g.s - x.s + 1, g.e - g.s)))"
+    return f"flatten(transform({found}, x -> {cut_up}))"
+
+
 def _scanned(df: DataFrame, text: str, base: str, candidates: str) -> DataFrame:
     """``df`` with arrays of base spans (s, e, k) and of candidates (s, e, band, step, ok)."""
     t = fresh(df, "scan")[0]
@@ -189,7 +198,7 @@ def _scanned(df: DataFrame, text: str, base: str, candidates: str) -> DataFrame:
     assign = spans(0, f"filter({matches(t, ASSIGN, 2)}, x -> length(x.w) >= 6)")
     df = df.withColumn(base, F.expr(f"array_sort(concat({assign}, {spans(1, matches(t, ACCESS))}, {spans(2, matches(t, HEX))}))"))
     shape = f"named_struct('s', x.s, 'e', x.e, 'band', {_band('length(x.w)')}, 'step', least({STEPS}, int(floor({unlikely_text('x.w')} / {STEP}))), 'ok', {looks_random('x.w')})"
-    return df.withColumn(candidates, F.expr(f"transform({matches(t, CANDIDATE)}, x -> {shape})")).drop(t)
+    return df.withColumn(candidates, F.expr(f"transform({_pieces(matches(t, CANDIDATE), _sql(base))}, x -> {shape})")).drop(t)
 
 
 def _limits(df: DataFrame, candidates: str) -> dict[int, int]:
@@ -210,8 +219,7 @@ def _all_spans(base: str, candidates: str, limits: dict[int, int]) -> str:
     if not limits:
         return base
     reached = "CASE c.band " + " ".join(f"WHEN {b} THEN c.step >= {s}" for b, s in limits.items()) + " ELSE false END"
-    apart = f"NOT exists({base}, b -> b.s < c.e AND c.s < b.e)"
-    added = f"transform(filter({candidates}, c -> c.ok AND {reached} AND {apart}), c -> named_struct('s', c.s, 'k', 3, 'e', c.e))"
+    added = f"transform(filter({candidates}, c -> c.ok AND {reached}), c -> named_struct('s', c.s, 'k', 3, 'e', c.e))"
     return f"array_sort(concat({base}, {added}))"
 
 
