@@ -7,8 +7,9 @@ only if its task succeeded, so a task that is run again leaves no half-written o
 
 Reading: the tail of each file gives the end-of-central-directory record and, where sizes or offsets
 don't fit 32 bits, the ZIP64 locator and directory. Central entries (with their ZIP64 fields) and local
-headers locate the stored index and archive members; records are then read by byte range. Tasks split by
-index entries, so one large package doesn't mean one large task.
+headers locate the stored index and archive members; records are then read by byte range. Index entries are
+dealt out by package and stretch of ``STRETCH`` archive bytes before their records are read, so one large
+package doesn't mean one large task; an index itself is read by one task, piece by piece.
 
 Of pages with equal payloads the one with the smallest page_id is stored as a response; the others become
 revisit records that refer to it, without the payload but with its digest and length. Payloads smaller
@@ -43,6 +44,8 @@ from tessera.llm.common import cut, quoted, shared_dir, ship, text_or_empty
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_PAYLOAD = 0
+#: Bytes of an archive whose records one task reads together, and of an index read at once.
+STRETCH, INDEX_PIECE = 1 << 22, 1 << 20
 ENTRY_SCHEMA = "path string, base bigint, start bigint, length bigint"
 RECORD_SCHEMA = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 
@@ -263,11 +266,16 @@ def entries(archives: DataFrame) -> DataFrame:
                 file = RangeFile(path)
                 found = members(file)
                 base = found[ARCHIVE][0]
-                lines = [json.loads(line) for line in file.read(*found[INDEX]).splitlines()]
+                at, left = found[INDEX]
+                rest = b""
+                while left:
+                    piece = file.read(at, min(left, INDEX_PIECE))
+                    at, left = at + len(piece), left - len(piece)
+                    *lines, rest = (rest + piece).split(b"\n")
+                    some = [json.loads(line) for line in ([*lines, rest] if not left else lines) if line.strip()]
+                    if some:
+                        yield pd.DataFrame({"path": path, "base": base, "start": [x["offset"] for x in some], "length": [x["length"] for x in some]})
                 file.close()
-                for i in range(0, len(lines), 10_000):
-                    some = lines[i : i + 10_000]
-                    yield pd.DataFrame({"path": path, "base": base, "start": [x["offset"] for x in some], "length": [x["length"] for x in some]})
 
     return archives.select("path").mapInPandas(read, ENTRY_SCHEMA)
 
@@ -298,7 +306,9 @@ def records(found: DataFrame, payloads: bool = True) -> DataFrame:
         if file:
             file.close()
 
-    return found.mapInPandas(read, RECORD_SCHEMA)
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = found.repartition(parts, F.col("path"), F.floor(F.col("start") / STRETCH)).sortWithinPartitions("path", "start")
+    return dealt.mapInPandas(read, RECORD_SCHEMA)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:

@@ -192,6 +192,14 @@ def test_op3(spark, small):
         assert r["payload_bytes"] == len(p["html"].encode()) and r["refers_to"] == (None if first[p["html"]] == p["page_id"] else first[p["html"]])
 
 
+def test_a_package_is_read_by_several_tasks(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "STRETCH", 2048, raising=False)
+    monkeypatch.setattr(warc, "INDEX_PIECE", 100, raising=False)
+    one = warc.write(warc.plan(spark.read.parquet(f"{small}/pages.parquet")), str(tmp_path / "w")).orderBy(F.desc("records")).limit(1)
+    found = warc.records(warc.entries(one)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(found) == one.collect()[0]["records"] > 10 and len({r["task"] for r in found}) > 1
+
+
 # -- 4: SimHash
 
 
