@@ -1,8 +1,8 @@
 """WARC archives packaged in ZIP files: a writer, and a reader that never extracts.
 
-Writing: each task packages its records into one ZIP file of stored members: ``archive/data.warc.gz``,
-with a gzip member per record, and ``indexes/index.cdxj``, a JSON line per record with the offset and
-length of its gzip member. Files get their final name when complete, and a row naming the file counts
+Writing: each task packages its records into ZIP files of bounded size, with stored members:
+``archive/data.warc.gz``, with a gzip member per record, and ``indexes/index.cdxj``, a JSON line per record
+with the offset and length of its gzip member. Files get their final name when complete, and a row naming the file counts
 only if its task succeeded, so a task that is run again leaves no half-written or doubled archive behind.
 
 Reading: the tail of each file gives the end-of-central-directory record and, where sizes or offsets
@@ -19,7 +19,9 @@ Folders may be local or shared paths, ``file:`` URIs, or any store that pyarrow'
 
 Defined cases: a null html is an empty payload. Null page_ids sort last, so they are responses only among
 themselves. Rows that repeat the response's page_id and payload are responses too. A null url is written
-as an empty target. An empty table writes no archive and reads as an empty result.
+as an empty target; blanks and control characters of a url are percent-encoded, since a header can't hold
+them. A payload of any length is one record, held whole by the task that writes or reads it. Other columns
+than the three that are named are ignored, whatever their names. An empty table writes no archive and reads as an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +32,14 @@ import hashlib
 import io
 import json
 import os
+import re
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
-from urllib.parse import unquote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,10 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 LEAST_PAYLOAD = 0
 #: Bytes of an archive whose records one task reads together, and of an index read at once.
 STRETCH, INDEX_PIECE = 1 << 22, 1 << 20
+#: Most records of a package, and the archive bytes at which the next one begins.
+PACKAGE_RECORDS, PACKAGE_BYTES = 1 << 16, 1 << 28
+#: A digest counts as hot from this share of the pages on, so at most this many digests are hot.
+HOT_DIGESTS = 1000
 ENTRY_SCHEMA = "path string, base bigint, start bigint, length bigint"
 RECORD_SCHEMA = "page_id bigint, url string, record_type string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 
@@ -160,6 +167,9 @@ def members(file: RangeFile) -> dict[str, tuple[int, int]]:
 # -- WARC ------------------------------------------------------------------------------------------------
 
 
+_BLANK = re.compile(r"[\s\x00-\x1f\x7f]")
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
@@ -173,17 +183,18 @@ def _page(urn: str | None) -> int | None:
     return int(value) if value else None
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record."""
+def record(page_id: int | None, url: str, sha1: bytes, size: int, payload: bytes | None, refers_to: int | None, revisit: bool) -> bytes:
+    """One WARC/1.1 record; ``sha1`` and ``size`` are those of the full payload, which revisits don't hold."""
     headers = {
         "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _urn(page_id), "WARC-Date": "1970-01-01T00:00:00Z",
-        "WARC-Target-URI": "".join(url.split()), "Content-Type": "application/http;msgtype=response",
-        "WARC-Payload-Digest": f"sha1:{digest(payload)}", "WARC-Payload-Length": str(len(payload)),
+        "WARC-Target-URI": _BLANK.sub(lambda m: quote(m[0]), url), "Content-Type": "application/http;msgtype=response",
+        "WARC-Payload-Digest": f"sha1:{base64.b32encode(sha1).decode()}", "WARC-Payload-Length": str(size),
     }
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if revisit:
         headers |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": _urn(refers_to)}
-    block = http if revisit else http + payload
+    else:
+        block += payload
     headers["Content-Length"] = str(len(block))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()).encode("utf-8") + b"\r\n" + block + b"\r\n\r\n"
 
@@ -211,109 +222,124 @@ def parse(raw: bytes) -> dict:
 
 
 def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST_PAYLOAD) -> DataFrame:
-    """``page_id, url, html, first_id, revisit``: which record each page becomes.
+    """``page_id, url, sha1, payload_bytes, payload, first_id, revisit``: which record each page becomes; revisits have no payload.
 
-    First pages are found with partial aggregation on the payload's digest; the join back has one row per
-    digest on one side, and a digest with very many pages is split by Spark's skew join.
+    First pages are found with partial aggregation on the payload's digest, and only digests of several pages
+    are looked up. Those that hold at least one in HOT_DIGESTS of the pages, of which there can be no more than
+    HOT_DIGESTS, come by broadcast: their revisits lose the payload before anything is shuffled, and are dealt
+    out by row number. All others, with bounded groups, meet in a sort-merge join.
     """
-    rows = pages.select(quoted(key).cast("bigint").alias("page_id"), F.coalesce(quoted(url).cast("string"), F.lit("")).alias("url"), text_or_empty(html).alias("html"))
-    rows = rows.withColumn("sha1", F.unhex(F.sha1("html")))
-    first = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    again = (F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(first, "sha1").select("page_id", "url", "html", "first_id", again.alias("revisit"))
+    rows = pages.select(
+        quoted(key).cast("bigint").alias("page_id"), F.coalesce(quoted(url).cast("string"), F.lit("")).alias("url"), text_or_empty(html).cast("binary").alias("payload")
+    ).withColumns({"sha1": F.unhex(F.sha1("payload")), "payload_bytes": F.octet_length("payload").cast("bigint")})
+    several = cut(rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
+    enough = max(2, -(-pages.count() // HOT_DIGESTS))
+    hot = several.where(F.col("n") >= enough).select("sha1", F.col("first_id").alias("hot_id"), F.lit(True).alias("hot"))
+    looked = rows.join(F.broadcast(hot), "sha1", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    long_enough = F.col("payload_bytes") >= least
+    known = F.col("hot") & long_enough & ~F.col("page_id").eqNullSafe(F.col("hot_id"))
+    looked = looked.withColumns({
+        "payload": F.when(~known, F.col("payload")),
+        "at": F.when(F.col("hot"), F.encode(F.lpad(F.monotonically_increasing_id().cast("string"), 24, "0"), "utf-8")).otherwise(F.col("sha1")),  # no digest has 24 bytes
+    })
+    rest = several.where(F.col("n") < enough).select(F.col("sha1").alias("at"), "first_id", F.lit(True).alias("found"))
+    joined = looked.join(rest.hint("merge"), "at", "left")
+    revisit = F.when(F.col("hot"), known).otherwise(F.col("found").isNotNull() & long_enough & ~F.col("page_id").eqNullSafe(F.col("first_id")))
+    return joined.select(
+        "page_id", "url", "sha1", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"), F.coalesce("hot_id", "first_id").alias("first_id"), revisit.alias("revisit")
+    )
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows one by one, as Python values."""
+    for batch in batches:
+        columns = batch.columns
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
 
 
 def write(planned: DataFrame, folder: str) -> DataFrame:
-    """Archives in ``folder``; their paths and record counts, ``(path, records)``, checkpointed."""
+    """Archives in ``folder``; their paths and record counts, ``(path, records)``, checkpointed.
+
+    A task writes one package after another, each of at most ``PACKAGE_RECORDS`` records and a little over
+    ``PACKAGE_BYTES`` bytes, so that its index stays small.
+    """
     ship(planned.sparkSession)
 
-    def package(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        batches = (b for b in batches if len(b))
-        first = next(batches, None)
-        if first is None:
-            return
-        index, n, at = io.BytesIO(), 0, 0
-
-        def fill(file) -> None:
-            nonlocal n, at
-            with zipfile.ZipFile(file, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-                with z.open(ARCHIVE, "w", force_zip64=True) as member:
-                    batch = first
-                    while batch is not None:
-                        for page_id, url, html, first_id, revisit in zip(*(batch[c] for c in ("page_id", "url", "html", "first_id", "revisit")), strict=True):
-                            page_id, first_id = (None if pd.isna(x) else int(x) for x in (page_id, first_id))
-                            packed = gzip.compress(record(page_id, url, html.encode("utf-8", "surrogatepass"), first_id, bool(revisit)), 5, mtime=0)
+    def package(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _rows(batches)
+        row = next(rows, None)
+        while row is not None:
+            index, n, at = io.BytesIO(), 0, 0
+
+            def fill(file) -> None:
+                nonlocal row, n, at
+                with zipfile.ZipFile(file, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
+                    with z.open(ARCHIVE, "w", force_zip64=True) as member:
+                        while row is not None and n < PACKAGE_RECORDS and at < PACKAGE_BYTES:
+                            packed = gzip.compress(record(*row), 5, mtime=0)
                             member.write(packed)
-                            index.write(json.dumps({"page_id": page_id, "offset": at, "length": len(packed)}).encode() + b"\n")
-                            n, at = n + 1, at + len(packed)
-                        batch = next(batches, None)
-                with z.open(INDEX, "w", force_zip64=True) as member:
-                    member.write(index.getbuffer())
+                            index.write(json.dumps({"page_id": row[0], "offset": at, "length": len(packed)}).encode() + b"\n")
+                            n, at, row = n + 1, at + len(packed), next(rows, None)
+                    with z.open(INDEX, "w", force_zip64=True) as member:
+                        member.write(index.getbuffer())
 
-        path = _write(folder, f"{uuid.uuid4().hex}.zip", fill)
-        yield pd.DataFrame({"path": [path], "records": [n]})
+            path = _write(folder, f"{uuid.uuid4().hex}.zip", fill)
+            yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([n], pa.int64())})
 
-    return cut(planned.mapInPandas(package, "path string, records bigint"))
+    return cut(planned.select("page_id", "url", "sha1", "payload_bytes", "payload", "first_id", "revisit").mapInArrow(package, "path string, records bigint"))
 
 
 def entries(archives: DataFrame) -> DataFrame:
     """The index entries of the packages whose ``path`` the rows name: ENTRY_SCHEMA."""
     ship(archives.sparkSession)
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path in batch["path"]:
-                file = RangeFile(path)
-                found = members(file)
-                base = found[ARCHIVE][0]
-                at, left = found[INDEX]
-                rest = b""
-                while left:
-                    piece = file.read(at, min(left, INDEX_PIECE))
-                    at, left = at + len(piece), left - len(piece)
-                    *lines, rest = (rest + piece).split(b"\n")
-                    some = [json.loads(line) for line in ([*lines, rest] if not left else lines) if line.strip()]
-                    if some:
-                        yield pd.DataFrame({"path": path, "base": base, "start": [x["offset"] for x in some], "length": [x["length"] for x in some]})
-                file.close()
-
-    return archives.select("path").mapInPandas(read, ENTRY_SCHEMA)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (path,) in _rows(batches):
+            file = RangeFile(path)
+            found = members(file)
+            base = found[ARCHIVE][0]
+            at, left = found[INDEX]
+            rest = b""
+            while left:
+                piece = file.read(at, min(left, INDEX_PIECE))
+                at, left = at + len(piece), left - len(piece)
+                *lines, rest = (rest + piece).split(b"\n")
+                some = [json.loads(line) for line in ([*lines, rest] if not left else lines) if line.strip()]
+                if some:
+                    starts, lengths = (pa.array([x[k] for x in some], pa.int64()) for k in ("offset", "length"))
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array([base] * len(some), pa.int64()), starts, lengths], names=["path", "base", "start", "length"])
+            file.close()
+
+    return archives.select("path").mapInArrow(read, ENTRY_SCHEMA)
 
 
 def records(found: DataFrame, payloads: bool = True) -> DataFrame:
     """The records at these index entries, by range reads: RECORD_SCHEMA."""
     ship(found.sparkSession)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path, file = None, None
-        for batch in batches:
-            out, size = [], 0
-            for p, base, start, length in zip(*(batch[c] for c in ("path", "base", "start", "length")), strict=True):
-                if p != path:
-                    if file:
-                        file.close()
-                    path, file = p, RangeFile(p)
-                one = parse(gzip.decompress(file.read(base + start, length)))
-                if not payloads:
-                    one["payload"] = None
-                out.append(one)
-                size += len(one["payload"] or b"")
-                if size > 1 << 22:
-                    yield _frame(out)
-                    out, size = [], 0
-            if out:
-                yield _frame(out)
+    types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, file, out, size = None, None, [], 0
+        for p, base, start, length in _rows(batches):
+            if p != path:
+                if file:
+                    file.close()
+                path, file = p, RangeFile(p)
+            one = parse(gzip.decompress(file.read(base + start, length)))
+            size += 200 + len(one["payload"] if payloads and one["payload"] else b"")
+            out.append(one if payloads else one | {"payload": None})
+            if size > 1 << 22:
+                yield pa.RecordBatch.from_pylist(out, types)
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, types)
         if file:
             file.close()
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartition(parts, F.col("path"), F.floor(F.col("start") / STRETCH)).sortWithinPartitions("path", "start")
-    return dealt.mapInPandas(read, RECORD_SCHEMA)
-
-
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows)
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    return dealt.select("path", "base", "start", "length").mapInArrow(read, RECORD_SCHEMA)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
