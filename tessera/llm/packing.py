@@ -1,26 +1,35 @@
 """Packing by optimal length buckets.
 
-A document's length is its token count plus one for the separator. Lengths go into a global histogram of
-bounded size: bins of 16 up to 2048, then 64 bins to each doubling. Dynamic programming over the
-histogram chooses at most ``BUCKETS`` bucket lengths, each the upper end of a bin, so that padding every
-document to its bucket's length costs the fewest tokens. Inside each bucket, documents form batches of at
-most ``BUDGET`` padded tokens; a bucket longer than the budget has batches of one document. Only the last
-batch of a bucket can be short.
+A document's length is its token count plus one for the separator. Lengths go into one global histogram:
+exact up to ``EXACT``, beyond it in bins of less than a thousandth of their length, each of which counts as its
+longest document. So the driver sees at most ``EXACT`` rows and 1024 for each further doubling, however many
+documents there are. Dynamic programming over the histogram chooses at most ``BUCKETS`` bucket lengths,
+each the length of a document, so that padding every document to its bucket's length costs the fewest tokens.
+Inside each bucket, documents form batches of at most ``BUDGET`` padded tokens; a bucket longer than the
+budget has batches of one document. Only the last batch of a bucket can be short.
 
 Positions inside a bucket are numbered in two steps: by hash blocks of bounded size, and by the counts of
-the blocks before. So a bucket with a third of all rows is spread over many tasks, and the driver sees only
-the histogram.
-
-Defined cases: null and empty texts have length 1. Null and repeated keys and repeated rows are documents
-of their own. An empty table has no buckets and gives an empty result.
+the blocks before. So a bucket with a third of all rows is spread over many tasks.
+
+Defined cases: null and empty texts have length 1. A text of any length is counted whole; runs of over
+``LONG_RUN`` space characters, which the counting library can't take, are cut from the text beforehand
+just where its own pattern would cut. Documents of equal length are told apart by the hash of key, length
+and row number, so equal rows take different slots. Null and repeated keys and repeated rows are documents of
+their own. Columns named ``bucket``, ``bucket_length``, ``batch`` or ``slot`` are replaced; others keep their names.
+An empty table has no buckets and gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import re
+from collections import deque
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import add
 
-import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,51 +40,66 @@ from tessera.llm.common import cut, documents, fresh, quoted, ship, text_or_empt
 
 BUCKETS = 16
 BUDGET = 65_536  # padded tokens of a batch
-FINE = 4  # bits: the finest bin is 16 long
-PER_DOUBLING = 6  # bits: 64 bins to a doubling beyond that
+EXACT = 1 << 20
+LONG_RUN = 10_000
 BLOCK_ROWS = 200_000
+#: Fixed value: what the vocabulary's added token looks like in a text.
+SPECIAL = ("<|endoftext|>",)
+
+_LONG_RUN, _WORDS = re.compile(r"\s{%d}" % LONG_RUN), regex.compile(WORDS)
 
 
-def bin_end(length: Column) -> Column:
-    """The upper end of the length's bin."""
-    bits = F.greatest(F.length(F.bin(F.greatest(length - 1, F.lit(1)))) - 1 - PER_DOUBLING, F.lit(FINE))
+def bin_of(length: Column) -> Column:
+    """The length itself up to EXACT, beyond it the upper end of a bin of less than a thousandth of the length."""
+    bits = F.greatest(F.length(F.bin(F.greatest(length - 1, F.lit(1)))) - 11, F.lit(0))
     step = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits.cast("int"))
-    return (F.floor((length + step - 1) / step) * step).cast("bigint")
+    return F.when(length <= EXACT, length).otherwise(F.floor((length + step - 1) / step) * step).cast("bigint")
 
 
 def best_buckets(ends: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
-    """The bucket lengths, out of the sorted ``ends``, that pad least; the last end is always one.
+    """The bucket lengths, out of the rising ``ends``, that pad least; the last end is always one.
 
-    best[b][j] is the least padded total of the first j bins in b buckets, the last of which ends at bin j.
+    ``best[j]`` is the least padded total of the bins up to j. A further bucket over the bins i to j costs
+    ``best[i - 1] + (upto[j + 1] - upto[i]) * ends[j]``: for each i a line over ``ends[j]``, the steeper the later i.
+    So a queue of the lines that can still be least gives all of a round's minima in one pass. Whole numbers only.
     """
-    n, end = len(ends), np.array(ends, np.int64)
+    n = len(ends)
     if n <= buckets:
         return list(ends)
-    upto = np.concatenate(([0], np.cumsum(np.array(counts, np.int64)))).astype(float)
-    # cost[i, j]: bins i .. j-1 in one bucket.
-    cost = (upto[None, 1:] - upto[:-1, None]) * end[None, :].astype(float)
-    cost[np.tril_indices(n, -1)] = np.inf
-    best, back = cost[0].copy(), []
+    upto = [0, *itertools.accumulate(counts)]
+    best, chosen = [upto[j + 1] * ends[j] for j in range(n)], []
     for _ in range(1, buckets):
-        total = np.concatenate(([np.inf], best[:-1]))[:, None] + cost
-        first = total.argmin(axis=0)
-        new = total[first, np.arange(n)]
-        better = new < best
-        back.append(np.where(better, first, -1))
-        best = np.where(better, new, best)
+        lines: deque[tuple[int, int, int]] = deque()  # (slope, height, i)
+        new, first = best[:1], [0]
+        for j in range(1, n):
+            slope, height = -upto[j], best[j - 1]
+            while len(lines) > 1:
+                (s1, h1, _), (s2, h2, _) = lines[-2], lines[-1]
+                if (height - h1) * (s1 - s2) > (h2 - h1) * (s1 - slope):
+                    break
+                lines.pop()  # never below both its neighbours
+            lines.append((slope, height, j))
+            x = ends[j]
+            while len(lines) > 1 and lines[1][0] * x + lines[1][1] <= lines[0][0] * x + lines[0][1]:
+                lines.popleft()
+            total = lines[0][0] * x + lines[0][1] + upto[j + 1] * x
+            new.append(min(total, best[j]))
+            first.append(lines[0][2] if total < best[j] else 0)
+        best = new
+        chosen.append(first)
     out, j = [], n - 1
-    for choice in reversed(back):
-        if choice[j] >= 0:
-            out.append(int(end[j]))
-            j = int(choice[j]) - 1
-    out.append(int(end[j]))
+    for first in reversed(chosen):
+        if first[j]:
+            out.append(ends[j])
+            j = first[j] - 1
+    out.append(ends[j])
     return out[::-1]
 
 
 def plan_buckets(df: DataFrame, length: Column, buckets: int = BUCKETS) -> list[int]:
     """Bucket lengths for all rows of ``df``."""
-    rows = sorted((r["end"], r["count"]) for r in df.groupBy(bin_end(length).alias("end")).count().collect())
-    return best_buckets([e for e, _ in rows], [c for _, c in rows], buckets) if rows else []
+    bins = df.groupBy(bin_of(length).alias("bin")).agg(F.max(length).alias("end"), F.count("*").alias("n")).select("end", "n").toPandas().sort_values("end")
+    return best_buckets(bins["end"].tolist(), bins["n"].tolist(), buckets)
 
 
 def pack(df: DataFrame, length: str, key: str, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
@@ -90,7 +114,7 @@ def pack(df: DataFrame, length: str, key: str, buckets: int = BUCKETS, budget: i
     ends = plan_buckets(slim, quoted(length), buckets) or [1]
     limits = F.array(*[F.lit(e).cast("bigint") for e in ends])
     blocks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // BLOCK_ROWS))
-    placed = slim.withColumns({at_bucket: F.size(F.filter(limits, lambda e: e < quoted(length))), order: F.xxhash64(quoted(key), quoted(length), row)})
+    placed = slim.withColumns({at_bucket: reduce(add, [(quoted(length) > e).cast("int") for e in ends]), order: F.xxhash64(quoted(key), quoted(length), row)})
     placed = placed.withColumn(block, F.pmod(order, F.lit(blocks)))
     earlier = Window.partitionBy(at_bucket).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(at_bucket, block).agg(F.count("*").alias(n)).select(at_bucket, block, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
@@ -109,7 +133,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def lengths(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _count(encoding, special: Sequence[str], text: str) -> int:
+    """Tokens of the text; each of the ``special`` strings is one token, as for op 10."""
+    for one in special:
+        if one in text:
+            rest = [s for s in special if s != one]
+            pieces = text.split(one)
+            return len(pieces) - 1 + sum(_count(encoding, rest, piece) for piece in pieces)
+    if len(text) > LONG_RUN and _LONG_RUN.search(text):
+        return sum(len(encoding._encode_single_piece(word.encode("utf-8"))) for word in _WORDS.findall(text))
+    return len(encoding.encode_ordinary(text))
+
+
+def lengths(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", special: Sequence[str] = SPECIAL) -> DataFrame:
     """``key, length``: tokens of the whole text, by a file of byte-level ranks, and one separator."""
     ship(docs.sparkSession)
     with open(path, "rb") as f:
@@ -123,7 +159,7 @@ def lengths(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
         parsed = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.value.splitlines() if line)}
         encoding = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=parsed, special_tokens={})
         for texts in batches:
-            yield pd.Series([len(encoding.encode_ordinary(x)) + 1 for x in texts], dtype="int64")
+            yield pd.Series([_count(encoding, special, x) + 1 for x in texts], dtype="int64")
 
     return docs.select(quoted(key), F.pandas_udf(count, T.LongType())(text_or_empty(text)).alias("length"))
 

@@ -177,20 +177,13 @@ def redacted(text, spans, mark="[SECRET]"):
 # -- packing
 
 
-def bin_end(n):
-    step = 16
-    while n > 128 * step:
-        step *= 2
-    return -(-n // step) * step
-
-
 def least_padded(ends, counts, buckets):
     """The least padded total, by recursion over the last bucket's first bin."""
-    best = {0: 0}
+    best, upto = {0: 0}, [sum(counts[:i]) for i in range(len(counts) + 1)]
     for _ in range(buckets):
         new = dict(best)
         for j in range(1, len(ends) + 1):
-            options = [best[i] + sum(counts[i:j]) * ends[j - 1] for i in range(j) if i in best]
+            options = [best[i] + (upto[j] - upto[i]) * ends[j - 1] for i in range(j) if i in best]
             if options:
                 new[j] = min([*options, *([best[j]] if j in best else [])])
         best = new

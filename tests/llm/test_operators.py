@@ -147,6 +147,27 @@ def test_warc_least_size_and_empty_table(spark, tmp_path):
     assert warc.records(warc.entries(warc.write(warc.plan(pages.limit(0)), str(tmp_path / "e")))).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_a_digest_with_half_of_the_pages(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(warc, "HOT_DIGESTS", hot)
+    monkeypatch.setattr(warc, "PACKAGE_RECORDS", 7)
+    rows = [(i, f"http://h/a b\t{i}", "hot" * 50 if i % 2 else f"page {i // 6}") for i in range(5, 205)] + [(None, None, "hot" * 50), (None, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for name in ("sha1", "hot", "at", "n", "payload", "found", "revisit", "hot_id"):
+        pages = pages.withColumn(name, F.lit("own"))
+    planned = warc.plan(pages)
+    assert planned.where("revisit and payload is not null").count() == 0
+    archives = warc.write(planned, str(tmp_path / "w"))
+    assert archives.agg(F.max("records"), F.sum("records")).collect()[0][:] == (7, len(rows))
+    first = {}
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        first.setdefault(h or "", i)
+    found = warc.records(warc.entries(archives)).collect()
+    want = sorted((str(i), "revisit" if first[h or ""] != i else "response", str(first[h or ""] if first[h or ""] != i else None), len(h or "")) for i, _, h in rows)
+    assert sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"]), r["payload_bytes"]) for r in found) == want
+    assert {r["url"] for r in found if r["page_id"] == 6} == {"http://h/a%20b%096"}
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_directories(tmp_path, wide):
     path = tmp_path / "a.zip"
@@ -497,19 +518,39 @@ def test_packing(spark):
     found = packing.pack(df, "length", "doc_id").collect()
     assert sorted((str(r["doc_id"]), r["length"]) for r in found) == sorted((str(i), n) for i, n in rows)
     check_batches(found)
-    ends = sorted({brute.bin_end(n) for _, n in rows})
-    counts = [sum(brute.bin_end(n) == e for _, n in rows) for e in ends]
+    ends = sorted({n for _, n in rows})
+    counts = [sum(n == e for _, n in rows) for e in ends]
     assert sum(r["bucket_length"] for r in found) == brute.least_padded(ends, counts, packing.BUCKETS)
     assert packing.pack(df.limit(0), "length", "doc_id").count() == 0
 
 
-def test_lengths_count_whole_texts(spark):
-    import tiktoken
+def test_lengths_beyond_the_exact_ones(spark, monkeypatch):
+    monkeypatch.setattr(packing, "EXACT", 100)
+    rows = [(i, n) for i, n in enumerate([5, 5, 70, 3000, 3001, 3002, 3003, 9000])]
+    df = spark.createDataFrame(rows, "doc_id bigint, length bigint")
+    assert packing.plan_buckets(df, F.col("length")) == [5, 70, 3000, 3002, 3003, 9000]  # a bin counts as its longest document
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(packing.default_path(), "rb"))}
-    encoding = tiktoken.Encoding("t", pat_str=bpe.WORDS, mergeable_ranks=ranks, special_tokens={})
-    found = packing.lengths(docs(spark, ODD), packing.default_path()).collect()
-    assert sorted((str(r["doc_id"]), r["length"]) for r in found) == sorted((str(i), len(encoding.encode_ordinary(t or "")) + 1) for i, t in ODD)
+
+LONG_RUNS = [(1, " " * 1_000_000 + "x"), (2, "a" * 1_000_000), (3, "\n" * 1_000_000), (4, "\u3000" * 30_000 + "é" + "\t" * 30_000), (5, "a<|endoftext|><|endoftext|> b" + " " * 20_000), (6, "<|endoftext|>"), (7, None)]
+
+
+def test_lengths_count_whole_texts(spark):
+    own = bpe.Tokenizer(open(bpe.default_path(), encoding="utf-8").read())
+    rows = [*ODD, *LONG_RUNS]
+    found = packing.lengths(docs(spark, rows), packing.default_path()).collect()
+    assert sorted((str(r["doc_id"]), r["length"]) for r in found) == sorted((str(i), len(own.encode(t or "")) + 1) for i, t in rows)
+
+
+def test_op9(spark, small, tmp_path, library):
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    table.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in LONG_RUNS], "doc_id bigint, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = packing.op9_packing(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    assert len(found) == len(texts) + len(LONG_RUNS)
+    assert all(r["length"] == len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids) + 1 for r in found if r["doc_id"] in texts)
+    check_batches(found)
+    ends = sorted({r["length"] for r in found})
+    assert sum(r["bucket_length"] for r in found) == brute.least_padded(ends, [sum(r["length"] == e for r in found) for e in ends], packing.BUCKETS)
 
 
 # -- 10: BPE
