@@ -26,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-equal fingerprints, that with the smallest doc_id."""
+    """One document of each group of similar texts (5-word shingles, similarity 0.8), that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
