@@ -10,31 +10,40 @@ base64) and tested
   - for uniform use of the alphabet, by chi-squared,
   - for runs below and above the alphabet's middle, by Wald and Wolfowitz,
   - for serial correlation of neighbouring symbols.
-A candidate must pass all three at level ``ALPHA``. Against it stands the hypothesis of ordinary text, in
-which neighbours seldom change between lower case, upper case and digits: at most with probability
-``CHANGES``. Its p-value is Chernoff's bound on that many changes, which is never too small. Candidates with
-letters of one case only, in which such changes are few even at random, have another: the likelihood of
-ordinary text, whose letters follow one another as in ``PAIRS``, over that of uniform use of the encoding's
-alphabet and over the number of ``ALPHABETS``; by Markov's inequality this is never too small either. A
-candidate that fails a test has p = 1, so that the tests and the p-value are one rule. Over the whole
-corpus the candidates of each length band are then held to a false-discovery rate of ``FDR`` by Benjamini
-and Hochberg's rule on a grid of these p-values. All candidates count there, since leaving out those that
-fail would make the others' p-values too small. Short candidates, of which ordinary text has many, need
-stronger evidence than long ones. Only counts by band and grid step reach the driver: at most
-``len(BANDS) * (STEPS + 1)`` rows.
+The least of the three p-values, corrected for their number by Sidak's rule, is the candidate's p-value under
+the hypothesis of a random token. Over the whole corpus the candidates of each length band are held to a
+false-discovery rate of ``RANDOM_FDR`` by Benjamini and Hochberg's rule: those found not to be random are out.
+So the level adapts to how much ordinary text a band holds, and few random tokens are called ordinary.
+
+Short candidates of ordinary text can pass such tests for want of symbols. So those that remain are also held
+against the hypothesis of ordinary text, in which neighbours seldom change between lower case, upper case and
+digits: at most with probability ``CHANGES``. This p-value is Chernoff's bound on that many changes, which is
+never too small. Candidates with letters of one case only, in which such changes are few even at random, have
+another: the likelihood of ordinary text, whose letters follow one another as in ``PAIRS``, over that of
+uniform use of the encoding's alphabet and over the number of ``ALPHABETS``; by Markov's inequality this is
+never too small either. Candidates that the battery has put out have p = 1 here and still count, since leaving
+them out would make the others' p-values too small. Again by length band, ordinary text among what is reported
+is held to a rate of ``FDR``: short candidates, of which ordinary text has many, need stronger evidence than
+long ones. Both rules run on grids of the p-values, so only counts by band and grid steps reach the driver: at
+most ``len(BANDS) * (RANDOM_STEPS + 1) * (STEPS + 1)`` rows.
 
 Candidates are cut at base spans, which stay; each remaining piece of 20 or more characters is a candidate.
 
 All of it is Spark expressions; positions are code points, end exclusive, and come from the lengths of
 matches and of the pieces between them.
 
-Defined cases: a null text counts as empty and has no spans. Null or repeated doc_ids and repeated rows
-keep their own results. An empty table gives an empty result.
+Defined cases: a null text counts as empty and has no spans. Texts of any length are scanned whole; a text
+with very many matches costs little more than in proportion. Null or repeated doc_ids and repeated rows keep
+their own results, which are equal for equal texts. Spans of one start are ordered by kind. ``scan`` replaces
+columns named like its results; other columns keep their names and values. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +57,14 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-ALPHA = 0.001
+RANDOM_FDR = 0.01
 CHANGES = 0.15
 ALPHABETS = 8  # of one case: hex, letters, base32 and base36, lower or upper
 FDR = 0.01
 BANDS = (20, 28, 40, 64, 128)  # least lengths
 STEPS, STEP = 160, 0.25  # of -log10 p
+RANDOM_STEPS = 24
+PIECE = 256  # matches whose places are summed at once
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Fixed values: -10 ln of the probability of a to z, rounded down, first for any place, then after each of a to z. Counted,
@@ -110,13 +121,18 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def matches(text: str, pattern: str, group: int | None = None) -> str:
-    """SQL: array of (s, e, w) of the pattern's matches: code points, and the text of ``group``."""
+    """SQL: array of (s, e, w) of the pattern's matches: code points, and the text of ``group``.
+
+    Each match begins where the piece before it ends. Places are summed in pieces of ``PIECE`` matches, then over the pieces.
+    """
     whole, between = f"regexp_extract_all({text}, {_quote(pattern)}, 0)", f"split({text}, {_quote(pattern)}, -1)"
-    word = f"regexp_extract_all({text}, {_quote(pattern)}, {group})" if group else "m"
-    # Each match begins where the piece before it ends.
-    ends = "aggregate(sequence(1, size(m)), named_struct('at', 0, 'out', array()), (a, i) -> named_struct('at', a.at + length(element_at(b, i)) + length(element_at(m, i)), 'out', array_append(a.out, a.at + length(element_at(b, i)) + length(element_at(m, i)))), a -> a.out)"
-    ends = ends.replace("array()", "cast(array() as array<int>)")
-    built = _let("m", whole, _let("b", between, _let("g", word, _let("x", ends, "transform(m, (w, i) -> named_struct('s', element_at(x, i + 1) - length(w), 'e', element_at(x, i + 1), 'w', element_at(g, i + 1)))"))))
+    word = f"regexp_extract(w, {_quote(pattern)}, {group})" if group else "w"
+    sums = lambda items, step: f"aggregate({items}, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, i) -> named_struct('at', a.at + {step}, 'out', array_append(a.out, a.at + {step})))"
+    pieces = f"transform(sequence(0, int((size(m) - 1) / {PIECE})), k -> {sums(f'slice(n, k * {PIECE} + 1, {PIECE})', 'i')})"
+    starts = f"concat(array(0), {sums('p', 'i.at')}.out)"
+    ends = _let("p", pieces, _let("q", starts, "flatten(transform(p, (x, k) -> transform(x.out, e -> e + get(q, k))))"))
+    lengths = "transform(m, (w, i) -> length(get(b, i)) + length(w))"
+    built = _let("m", whole, _let("b", between, _let("n", lengths, _let("x", ends, f"transform(m, (w, i) -> named_struct('s', get(x, i) - length(w), 'e', get(x, i), 'w', {word}))"))))
     return f"CASE WHEN {text} RLIKE {_quote(pattern)} THEN {built} ELSE cast(array() as array<struct<s:int,e:int,w:string>>) END"
 
 
@@ -128,26 +144,26 @@ def _tail(z: str) -> str:
     return f"(0.5D * {poly} * exp(-({z}) * ({z}) / 2))"
 
 
-def looks_random(token: str) -> str:
-    """SQL: whether the token passes all three tests in its inferred encoding."""
+def battery(token: str) -> str:
+    """SQL: the p-value of a random token in the inferred encoding, over all three tests; 0 where no encoding fits."""
 
     def tests(alphabet: str) -> str:
         k = len(alphabet)
         n = "double(length(w))"
         squares = "aggregate(array_distinct(split(w, '')), 0D, (a, c) -> a + pow(length(w) - length(replace(w, c, '')), 2))"
         chi = f"(({k}D / {n} * {squares} - {n}) - {k - 1}D) / sqrt({2 * (k - 1)}D * (1 - 1 / {n}))"
-        uniform = _let("z", chi, f"z <= 0 OR {_tail('z')} >= {ALPHA}D")
+        uniform = _let("z", chi, f"CASE WHEN z <= 0 THEN 1D ELSE {_tail('z')} END")
         bits = f"translate(w, '{alphabet}', '{'0' * (k // 2) + '1' * (k - k // 2)}')"
-        halves = _let("ones", "double(length(replace(bits, '0', '')))", _let("zeros", f"{n} - ones", _let("both", "2 * ones * zeros", (
-            f"both > {n} AND " + _let("z", f"abs(1 + regexp_count(bits, '(?<=0)1|(?<=1)0') - 1 - both / {n}) / sqrt(both * (both - {n}) / ({n} * {n} * ({n} - 1)))", f"2 * {_tail('z')} >= {ALPHA}D")))))
-        runs = _let("bits", bits, halves)
+        distance = f"abs(regexp_count(bits, '(?<=0)1|(?<=1)0') - both / {n}) / sqrt(both * (both - {n}) / ({n} * {n} * ({n} - 1)))"
+        halves = f"CASE WHEN both <= {n} THEN 0D ELSE {_let('z', distance, f'2 * {_tail("z")}')} END"
+        runs = _let("bits", bits, _let("ones", "double(length(replace(bits, '0', '')))", _let("both", f"2 * ones * ({n} - ones)", halves)))
         middle, variance = (k - 1) / 2, (k * k - 1) / 12
         values = f"transform(split(w, ''), c -> locate(c, '{alphabet}') - {middle + 1!r}D)"
-        serial = _let("v", values, _let("z", f"abs(aggregate(transform(v, (x, i) -> x * coalesce(get(v, i + 1), 0D)), 0D, (a, x) -> a + x)) / ({variance!r}D * sqrt({n} - 1))", f"2 * {_tail('z')} >= {ALPHA}D"))
-        return f"({uniform}) AND ({runs}) AND ({serial})"
+        serial = _let("v", values, _let("z", f"abs(aggregate(transform(v, (x, i) -> x * coalesce(get(v, i + 1), 0D)), 0D, (a, x) -> a + x)) / ({variance!r}D * sqrt({n} - 1))", f"2 * {_tail('z')}"))
+        return f"1 - pow(1 - least(1D, {uniform}, {runs}, {serial}), 3)"
 
     branches = " ".join(f"WHEN w RLIKE '^{p}$' THEN {tests(a)}" for p, a in ENCODINGS)
-    return _let("w", f"translate({token}, '-_', '+/')", f"CASE {branches} ELSE false END")
+    return _let("w", f"translate({token}, '-_', '+/')", f"CASE {branches} ELSE 0D END")
 
 
 def _costs() -> list[int]:
@@ -181,6 +197,10 @@ def _band(length: str) -> str:
     return "CASE " + " ".join(f"WHEN {length} >= {b} THEN {b}" for b in reversed(BANDS)) + " END"
 
 
+def _step(evidence: str, most: int) -> str:
+    return f"least({most}, int(floor({evidence} / {STEP})))"
+
+
 def _pieces(found: str, base: str) -> str:
     """SQL: array of (s, e, w): what base spans leave of the matches in pieces of ``BANDS[0]`` or more characters."""
     gap = "named_struct('at', greatest(a.at, b.e), 'out', IF(b.s > a.at, array_append(a.out, named_struct('s', a.at, 'e', b.s)), a.out))"
@@ -191,35 +211,47 @@ def _pieces(found: str, base: str) -> str:
 
 
 def _scanned(df: DataFrame, text: str, base: str, candidates: str) -> DataFrame:
-    """``df`` with arrays of base spans (s, e, k) and of candidates (s, e, band, step, ok)."""
+    """``df`` with arrays of base spans (s, e, k) and of candidates (s, e, band, plain, step): grid steps of -log10 p of a random token and of ordinary text."""
     t = fresh(df, "scan")[0]
     df = df.withColumn(t, text_or_empty(text))
     spans = lambda kind, found: f"transform({found}, x -> named_struct('s', x.s, 'k', {kind}, 'e', x.e))"
     assign = spans(0, f"filter({matches(t, ASSIGN, 2)}, x -> length(x.w) >= 6)")
     df = df.withColumn(base, F.expr(f"array_sort(concat({assign}, {spans(1, matches(t, ACCESS))}, {spans(2, matches(t, HEX))}))"))
-    shape = f"named_struct('s', x.s, 'e', x.e, 'band', {_band('length(x.w)')}, 'step', least({STEPS}, int(floor({unlikely_text('x.w')} / {STEP}))), 'ok', {looks_random('x.w')})"
+    shape = f"named_struct('s', x.s, 'e', x.e, 'band', {_band('length(x.w)')}, 'plain', {_step(f"-log10(greatest(1e-9D, {battery('x.w')}))", RANDOM_STEPS)}, 'step', {_step(unlikely_text('x.w'), STEPS)})"
     return df.withColumn(candidates, F.expr(f"transform({_pieces(matches(t, CANDIDATE), _sql(base))}, x -> {shape})")).drop(t)
 
 
-def _limits(df: DataFrame, candidates: str) -> dict[int, int]:
-    """The least step of each band at which the false-discovery rate holds; bands without any are left out."""
-    rows = df.select(F.explode(quoted(candidates)).alias("c")).groupBy("c.band", F.expr("IF(c.ok, c.step, 0)").alias("step")).count().collect()
+def _least_step(counts: Mapping[int, int], steps: int, rate: float) -> int | None:
+    """The least step of -log10 p from which on all are found, at this false-discovery rate (Benjamini and Hochberg); None if none are."""
+    total, reached, out = sum(counts.values()), 0, None
+    for step in range(steps, 0, -1):
+        reached += counts.get(step, 0)
+        if reached and total * 10 ** (-step * STEP) <= rate * reached:
+            out = step
+    return out
+
+
+def _limits(df: DataFrame, candidates: str) -> dict[int, tuple[int, int]]:
+    """(step from which on candidates are not random, least step at which they are not ordinary text) of each band; bands that report none are left out."""
+    rows = df.select(F.explode(quoted(candidates)).alias("c")).groupBy("c.band", "c.plain", "c.step").count().collect()
     out = {}
     for band in {r["band"] for r in rows}:
-        counts = {r["step"]: r["count"] for r in rows if r["band"] == band}
-        total, reached = sum(counts.values()), 0
-        for step in range(STEPS, 0, -1):
-            reached += counts.get(step, 0)
-            if reached and total * 10 ** (-step * STEP) <= FDR * reached:
-                out[band] = step
+        mine, by_plain, by_step = [r for r in rows if r["band"] == band], Counter(), Counter()
+        for r in mine:
+            by_plain[r["plain"]] += r["count"]
+        plain = _least_step(by_plain, RANDOM_STEPS, RANDOM_FDR) or RANDOM_STEPS + 1
+        for r in mine:
+            by_step[r["step"] if r["plain"] < plain else 0] += r["count"]
+        if (step := _least_step(by_step, STEPS, FDR)) is not None:
+            out[band] = plain, step
     return out
 
 
-def _all_spans(base: str, candidates: str, limits: dict[int, int]) -> str:
+def _all_spans(base: str, candidates: str, limits: dict[int, tuple[int, int]]) -> str:
     if not limits:
         return base
-    reached = "CASE c.band " + " ".join(f"WHEN {b} THEN c.step >= {s}" for b, s in limits.items()) + " ELSE false END"
-    added = f"transform(filter({candidates}, c -> c.ok AND {reached}), c -> named_struct('s', c.s, 'k', 3, 'e', c.e))"
+    reached = "CASE c.band " + " ".join(f"WHEN {b} THEN c.plain < {p} AND c.step >= {s}" for b, (p, s) in limits.items()) + " ELSE false END"
+    added = f"transform(filter({candidates}, c -> {reached}), c -> named_struct('s', c.s, 'k', 3, 'e', c.e))"
     return f"array_sort(concat({base}, {added}))"
 
 
@@ -236,10 +268,13 @@ def scan(df: DataFrame, text: str = "text", spans: str = "spans", base: str = "b
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``df`` with every span of its texts replaced by ``mark``; texts without one are untouched."""
+    """``df`` with every span of its texts replaced by ``mark``; texts without one are untouched.
+
+    The scan happens once: rows and what it found are checkpointed for the corpus counts and the answer.
+    """
     base, found, spans, t = fresh(df, "base", "found", "spans", "whole")
-    scanned = _scanned(df, text, base, found)
-    limits = _limits(cut(scanned.select(found)), found)
+    scanned = cut(_scanned(df, text, base, found))
+    limits = _limits(scanned, found)
     step = (  # spans overlap or touch: only what lies beyond the last end is copied or marked
         f"named_struct('at', greatest(a.at, x.e), 'out', CASE WHEN x.s >= a.at THEN array_append(a.out, concat(substring(`{t}`, a.at + 1, x.s - a.at), '{mark}')) ELSE a.out END)"
     )

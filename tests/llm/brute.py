@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import xxhash
 
+from tessera.llm import secrets
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -105,30 +107,38 @@ def base_spans(text):
 _D, _L, _U = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def looks_random(token, alpha=0.001):
+def not_random(token):
+    """The p-value of a random token over the three tests."""
     token = token.replace("-", "+").replace("_", "/")
-    for alphabet in (_D + "abcdef", _D + "ABCDEF", _U + "234567", _D + _U + _L, _U + _L + _D + "+/"):
+    for alphabet in (_D + "abcdef", _D + "ABCDEF", _L, _U, _U + "234567", _D + _L, _D + _U, _D + _U + _L, _U + _L + _D + "+/"):
         if all(c in alphabet for c in token):
             break
     k, n, values = len(alphabet), len(token), [alphabet.index(c) for c in token]
     tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
     chi = (k / n * sum(c * c for c in Counter(values).values()) - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
-    if chi > 0 and tail(chi) < alpha:
-        return False
     high = [v >= k // 2 for v in values]
     both = 2 * sum(high) * (n - sum(high))
     if both <= n:
-        return False
-    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-    if 2 * tail(abs(runs - 1 - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1)))) < alpha:
-        return False
+        return 0.0
+    changes = sum(a != b for a, b in zip(high, high[1:]))
+    runs = abs(changes - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1)))
     middle = (k - 1) / 2
     serial = sum((a - middle) * (b - middle) for a, b in zip(values, values[1:])) / ((k * k - 1) / 12 * math.sqrt(n - 1))
-    return 2 * tail(abs(serial)) >= alpha
+    return 1 - (1 - min(1.0, tail(chi) if chi > 0 else 1.0, 2 * tail(runs), 2 * tail(abs(serial)))) ** 3
 
 
 def evidence(token, rate=0.15):
     """-log10 p of ordinary text."""
+    if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", token):
+        pairs = [list(map(int, line.split())) for line in secrets.PAIRS.strip().split("\n")]
+        size = next(k for p, k in (("[0-9a-f]+", 16), ("[0-9A-F]+", 16), ("[a-z]+", 26), ("[A-Z]+", 26), ("[A-Z2-7]+", 32), (".+", 36)) if re.fullmatch(p, token))
+        cost, before = 0, None
+        for c in token.lower():
+            kind = 0.5 if before is None else rate if (c in _D) != (before in _D) else 1 - rate
+            letters = pairs[0 if before is None or before in _D else _L.index(before) + 1]
+            cost += int(-100 * math.log(kind) + (100 * math.log(10) if c in _D else 10 * letters[_L.index(c)]))
+            before = c
+        return max(0, (cost / 100 - len(token) * math.log(size) - math.log(8)) / math.log(10))
     kinds = ["0" if c in _D else "a" if c in _L else "A" for c in token if c in _D + _L + _U]
     if len(kinds) < 2:
         return 0
@@ -140,25 +150,40 @@ def evidence(token, rate=0.15):
     return n * bound / math.log(10)
 
 
-def all_spans(texts, fdr=0.01):
-    """The spans of each text, random ones by the false-discovery rate over all texts."""
-    band = lambda n: max(b for b in (20, 28, 40, 64, 128) if n >= b)
-    found = [[(m.start(), m.end(), m[0], band(len(m[0])), min(160, math.floor(evidence(m[0]) / 0.25))) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t or "")] for t in texts]
-    steps = defaultdict(list)
-    for f in found:
-        for *_, b, s in f:
-            steps[b].append(s)
+def least_step(steps, most, rate):
+    fit = [s for s in range(1, most + 1) if (r := sum(x >= s for x in steps)) and len(steps) * 10 ** (-s * 0.25) <= rate * r]
+    return min(fit) if fit else None
+
+
+def pieces(text):
+    """(start, end) of the candidates that base spans leave."""
+    covered = {i for s, _, e in base_spans(text) for i in range(s, e)}
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        start = m.start()
+        for i in range(m.start(), m.end() + 1):
+            if i == m.end() or i in covered:
+                if i - start >= 20:
+                    yield start, i
+                start = i + 1
+
+
+def all_spans(texts, fdr=0.01, random_fdr=0.01):
+    """The spans of each text, random ones by the false-discovery rates over all texts."""
+    found, bands = [], defaultdict(list)
+    for t in texts:
+        mine = []
+        for s, e in pieces(t or ""):
+            word = t[s:e]
+            plain = min(24, math.floor(-math.log10(max(1e-9, not_random(word))) / 0.25))
+            mine.append((s, e, max(b for b in (20, 28, 40, 64, 128) if e - s >= b), plain, min(160, math.floor(evidence(word) / 0.25))))
+            bands[mine[-1][2]].append(mine[-1][3:])
+        found.append(mine)
     limits = {}
-    for b, all_steps in steps.items():
-        fit = [s for s in range(1, 161) if (r := sum(x >= s for x in all_steps)) and len(all_steps) * 10 ** (-s * 0.25) <= fdr * r]
-        if fit:
-            limits[b] = min(fit)
-    out = []
-    for t, f in zip(texts, found):
-        base = base_spans(t)
-        more = [(s, 3, e) for s, e, w, b, step in f if b in limits and step >= limits[b] and looks_random(w) and not any(x < e and s < y for x, _, y in base)]
-        out.append(sorted(base + more))
-    return out
+    for band, steps in bands.items():
+        plain = least_step([p for p, _ in steps], 24, random_fdr) or 25
+        limits[band] = plain, least_step([s if p < plain else 0 for p, s in steps], 160, fdr) or 161
+    more = [[(s, 3, e) for s, e, band, plain, step in mine if plain < limits[band][0] and step >= limits[band][1]] for mine in found]
+    return [sorted(base_spans(t) + m) for t, m in zip(texts, more)]
 
 
 def joined(spans):
@@ -188,3 +213,57 @@ def least_padded(ends, counts, buckets):
                 new[j] = min([*options, *([best[j]] if j in best else [])])
         best = new
     return best[len(ends)]
+
+
+def cosine(a, b, shingle=5):
+    """Of the counts of the texts' word shingles; texts of fewer words have one."""
+
+    def counts(text):
+        words = [w.lower() for w in WORD.findall(text or "")]
+        k = min(shingle, len(words))
+        return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if words else Counter()
+
+    one, two = counts(a), counts(b)
+    both = sum(n * two[s] for s, n in one.items())
+    return both / math.sqrt(sum(n * n for n in one.values()) * sum(n * n for n in two.values())) if both else float(not one and not two)
+
+
+# -- chat
+
+
+def conversations(rows, hmm, features):
+    """(conversation, turn) -> (lines, roles, rendered) of (conversation, turn, text) rows with one row a turn: Viterbi over whole conversations."""
+    names, out, whole = ("system", "user", "assistant"), {}, defaultdict(list)
+    for conv, turn, text in sorted(rows):
+        whole[conv].append((turn, text or ""))
+    marker = re.compile(r"\s*(?:\*\*)?(?:instructions|system|sys|customer|human|user|q|me|assistant|agent|bot|ai|a)(?:\*\*)?\s*:\s*", re.IGNORECASE)
+    for conv, turns in whole.items():
+        lines = [(k, line, f) for k, (_, text) in enumerate(turns) for line, f in zip(text.split("\n"), features(text, True), strict=True)]
+        shown = [[sum(float(table[s][v]) for table, v in zip(hmm.shows, f, strict=True)) for s in range(6)] for _, _, f in lines]
+        best, back = [float(hmm.start[s]) + shown[0][s] for s in range(6)], []
+        for row in shown[1:]:
+            totals = [[best[a] + float(hmm.moves[a][b]) for a in range(6)] for b in range(6)]
+            back.append([t.index(max(t)) for t in totals])
+            best = [max(t) + row[b] for b, t in enumerate(totals)]
+        path = [best.index(max(best))]
+        for choice in reversed(back):
+            path.append(choice[path[-1]])
+        path.reverse()
+        for k, (turn, _) in enumerate(turns):
+            mine = [i for i, (j, _, _) in enumerate(lines) if j == k]
+            text, roles = "", []
+            for i in mine:
+                line, state = lines[i][1], path[i]
+                if state % 2 == 0 or i == 0:
+                    text += ("<|end|>\n" if i != mine[0] else "") + f"<|{names[state // 2]}|>\n"
+                    roles.append(names[state // 2])
+                    found = marker.match(line)
+                    line = line[found.end() :] if found else line
+                elif not roles:
+                    roles.append(names[state // 2])
+                text += line + "\n"
+            after = mine[-1] + 1
+            if after == len(lines) or path[after] % 2 == 0:
+                text += "<|end|>\n"
+            out[conv, turn] = (len(mine), ",".join(roles), text)
+    return out

@@ -83,7 +83,8 @@ def test_small_groups_stay_together(spark):
 def test_op1(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     found = sharding.op1_sharding(spark, small).collect()
-    check_shards(rows, found, 8)
+    sizes = [len((t or "").encode()) + 1 for _, t in rows]
+    check_shards(rows, found, 8, max(sizes) + sharding.KEEP_TOGETHER * sum(sizes) / 8)
     texts = dict(rows)
     assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and r["law"] == "bytes" and r["grown_shard"] is None for r in found)
 
@@ -283,7 +284,7 @@ def test_one_of_each_component_stays(spark):
     df = docs(spark, rows)
     ids = brute.components([brute.fingerprint(t) for _, t in rows], [i for i, _ in rows])
     want = sorted(str(i) for (i, _), c in zip(rows, ids) if i == c)
-    out = simhash.keep_one(df)
+    out = simhash.keep_one(df, similarity=None)
     assert sorted(str(r["doc_id"]) for r in out.collect()) == want and out.columns == df.columns
 
 
@@ -429,12 +430,11 @@ def test_viterbi_in_blocks_is_exact(turns):
 def test_blocks_of_long_conversations(spark, turns, monkeypatch):
     hmm = chat.train(turns)
     long = turns.withColumn("conv_id", F.col("conv_id") % 2).withColumn("turn", F.pmod(F.hash("text", "turn"), F.lit(60)))
-    whole = {(r["conv_id"], r["turn"], r["rendered"]) for r in chat.recover(long, hmm).collect()}
+    whole = sorted((r["conv_id"], r["turn"], r["rendered"]) for r in chat.recover(long, hmm).collect())
     monkeypatch.setattr(chat, "BLOCK", 30)
     parts = chat.recover(long, hmm).collect()
     assert len(parts) == long.count() and all(r["roles"] for r in parts)
-    same = sum((r["conv_id"], r["turn"], r["rendered"]) in whole for r in parts)
-    assert same > 0.5 * len(parts)
+    assert sorted((r["conv_id"], r["turn"], r["rendered"]) for r in parts) == whole
 
 
 @pytest.mark.parametrize("marked", [True, False])
