@@ -18,24 +18,30 @@ the states found, also knowing whether the next block goes on with its last turn
 blocks give what one piece gives.
 
 Bound: the model is fitted on the first ``TRAIN_TURNS`` turns in the order of a hash of conv_id, over all
-conversations that are not held out (crc32(conv_id as text) mod 4 is 2).
+conversations that are not held out (crc32(conv_id as text) mod 4 is 2). Their whole texts are counted, in
+executors; only counts reach the driver.
 
 Defined cases: a null text is one empty line. A null conv_id is a conversation of its own for each row; a
 null turn comes first. Rows equal in conv_id, turn and the text's hash follow one another in any order. Roles other
 than the three known ones train nothing. Without labelled turns all states are equally likely at first.
-An empty table gives an empty result.
+Texts of any length are read whole; a part's texts are held together. Columns named ``text``, ``n_lines``,
+``roles`` or ``rendered`` are replaced; others keep their names, types and values. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import cut, quoted, ship, text_or_empty
 
@@ -77,25 +83,37 @@ class Hmm:
         return sum(table[:, x[:, i]] for i, table in enumerate(self.shows)).T
 
 
-def fit(turns: pd.DataFrame) -> Hmm:
-    """Counts over ``conv_id, turn, role, text`` with texts as a transcript shows them."""
-    start, moves = np.full(STATES, SMOOTHING), np.full((STATES, STATES), SMOOTHING)
-    shows = [np.full((STATES, n), SMOOTHING) for n in SHAPES]
-    for _, conv in turns.sort_values("turn", kind="stable").groupby("conv_id", sort=False):
-        last = None
-        for role, text in zip(conv["role"], conv["text"], strict=True):
-            if role not in ROLES:
-                last = None
-                continue
-            for i, row in enumerate(features(text, True)):
-                state = 2 * ROLES.index(role) + (i > 0)
-                if last is None:
-                    start[state] += 1
-                else:
-                    moves[last, state] += 1
-                for table, value in zip(shows, row, strict=True):
-                    table[state, value] += 1
-                last = state
+#: Counts of starts, moves and the values of each feature, one after the other.
+_SIZES = (STATES, STATES * STATES, *(STATES * n for n in SHAPES))
+
+
+def count_turns(rows: Iterable[tuple[Hashable, str, str]]) -> np.ndarray:
+    """The counts of (conversation, role, text) in the order of the conversations, with texts as a transcript shows them."""
+    start, moves = np.zeros(STATES), np.zeros((STATES, STATES))
+    shows = [np.zeros((STATES, n)) for n in SHAPES]
+    last, current = None, None
+    for conv, role, text in rows:
+        if conv != current:
+            last, current = None, conv
+        if role not in ROLES:
+            last = None
+            continue
+        for i, row in enumerate(features(text, True)):
+            state = 2 * ROLES.index(role) + (i > 0)
+            if last is None:
+                start[state] += 1
+            else:
+                moves[last, state] += 1
+            for table, value in zip(shows, row, strict=True):
+                table[state, value] += 1
+            last = state
+    return np.concatenate([t.ravel() for t in (start, moves, *shows)])
+
+
+def fit(counts: np.ndarray) -> Hmm:
+    """The model of these counts, smoothed."""
+    start, moves, *shows = np.split(counts + SMOOTHING, np.cumsum(_SIZES)[:-1])
+    moves, shows = moves.reshape(STATES, STATES), [t.reshape(STATES, n) for t, n in zip(shows, SHAPES, strict=True)]
     # A later line follows its own turn's lines only.
     for a in range(STATES):
         for role in range(len(ROLES)):
@@ -188,6 +206,34 @@ def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tu
         yield tuple(held.iloc[0][keys]), held
 
 
+class _Parts:
+    """Rows of whole parts: the columns, and where each part begins and ends."""
+
+    def __init__(self, batch: pa.RecordBatch, bounds: list[tuple[int, int]]):
+        self.batch, self.bounds = batch, bounds
+
+    def column(self, name: str) -> pa.Array:
+        return self.batch.column(name)
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[_Parts]:
+    """Sorted rows in which the first ``keys`` columns name the part; a part may span batches, and its rows come together."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
+        if not batch.num_rows:
+            continue
+        names = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
+        begins = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
+        last = begins[-1]
+        if last:
+            yield _Parts(batch.slice(0, last), list(itertools.pairwise(begins)))
+        held = batch.slice(last)
+    if held is not None and held.num_rows:
+        yield _Parts(held, [(0, held.num_rows)])
+
+
 _KEYS = ["_conv", "_block", "_part"]
 
 
@@ -218,8 +264,8 @@ def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn
     ship(spark)
     model = spark.sparkContext.broadcast(hmm)
     kept = [c for c in turns.columns if c not in (text, "n_lines", "roles", "rendered")]
-    # The other columns travel as JSON, which keeps nulls that pandas would turn into floats.
-    others = F.to_json(F.struct(*[quoted(c) for c in kept]), {"ignoreNullFields": "false"})
+    # The other columns travel as one struct, which Arrow passes through as it is.
+    others = F.struct(F.lit(True).alias("there"), *[quoted(c).alias(f"c{i}") for i, c in enumerate(kept)])
     laid = _laid_out(turns.select(quoted(conv).alias("conv"), quoted(turn).alias("turn"), text_or_empty(text).alias("text"), others.alias("others")))
     order = [*_KEYS, "turn", "_hash", "text"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -248,27 +294,34 @@ def recover(turns: DataFrame, hmm: Hmm, conv: str = "conv_id", turn: str = "turn
 
     known = blocks.repartition(parts, "_conv").sortWithinPartitions(*_KEYS).mapInPandas(chain, "_conv string, _block bigint, _part bigint, before int, at_end int, goes_on int")
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _runs(batches, _KEYS):
-            lines = shown(rows["text"])
-            before, end = rows["before"].iloc[0], rows["at_end"].iloc[0]
-            opens, next_on = pd.isna(before) or before < 0, rows["goes_on"].iloc[0] == 1
-            states = viterbi(model.value, model.value.emissions([f for fs in lines for f in fs]), None if opens else int(before), None if pd.isna(end) else int(end))
-            at, made = 0, []
-            for text_, fs in zip(rows["text"], lines, strict=True):
-                own, at = states[at : at + len(fs)], at + len(fs)
-                goes_on = states[at] % 2 == 1 if at < len(states) else next_on
-                made.append((len(fs), *render(text_, own, opens and at == len(fs), goes_on)))
-            yield pd.DataFrame({"others": rows["others"].to_numpy(), "n_lines": [n for n, _, _ in made], "roles": [r for _, _, r in made], "rendered": [t for _, t, _ in made]})
+    def decoded(texts: list[str], before: int | None, end: int | None, next_on: int | None) -> Iterator[tuple[int, str, list[str]]]:
+        """(lines, rendered text, roles) of each row of a part."""
+        lines = shown(texts)
+        opens = before is None or before < 0
+        states = viterbi(model.value, model.value.emissions([f for fs in lines for f in fs]), None if opens else before, end)
+        at = 0
+        for text_, fs in zip(texts, lines, strict=True):
+            own, at = states[at : at + len(fs)], at + len(fs)
+            goes_on = states[at] % 2 == 1 if at < len(states) else next_on == 1
+            yield len(fs), *render(text_, own, opens and at == len(fs), goes_on)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_parts(batches, len(_KEYS)):
+            texts, before, end, next_on = (table.column(c).to_pylist() for c in ("text", "before", "at_end", "goes_on"))
+            made = [x for a, b in table.bounds for x in decoded(texts[a:b], before[a], end[a], next_on[a])]
+            yield pa.RecordBatch.from_arrays(
+                [table.column("others"), pa.array([n for n, _, _ in made], pa.int32()), pa.array([r for _, _, r in made], pa.list_(pa.string())), pa.array([t for _, t, _ in made], pa.string())],
+                names=["others", "n_lines", "roles", "rendered"],
+            )
 
     if several.isEmpty():
         placed = laid.withColumns({c: F.lit(None).cast("int") for c in ("before", "at_end", "goes_on")})
     else:
         placed = laid.join(known, _KEYS, "left")
     rows = sorted_rows(placed.select(*order, "others", "before", "at_end", "goes_on"))
-    out = rows.mapInPandas(decode, "others string, n_lines int, roles array<string>, rendered string")
-    fields = F.from_json("others", ", ".join(f"`{c.replace('`', '``')}` {turns.schema[c].dataType.simpleString()}" for c in kept))
-    return out.withColumn("others", fields).select(*[F.col("others")[c].alias(c) for c in kept], "n_lines", "roles", "rendered")
+    schema = T.StructType([rows.schema["others"], T.StructField("n_lines", T.IntegerType()), T.StructField("roles", T.ArrayType(T.StringType())), T.StructField("rendered", T.StringType())])
+    out = rows.mapInArrow(decode, schema)
+    return out.select(*[F.col("others")[f"c{i}"].alias(c) for i, c in enumerate(kept)], "n_lines", "roles", "rendered")
 
 
 def viterbi_scores(hmm: Hmm, shown: np.ndarray) -> np.ndarray:
@@ -295,10 +348,21 @@ def transcribe(turns: DataFrame) -> DataFrame:
 
 
 def train(turns: DataFrame, rows: int = TRAIN_TURNS) -> Hmm:
-    """The model of a bounded sample of transcribed turns, none of them held out."""
+    """The model of a bounded sample of transcribed turns, none of them held out. Whole texts are counted, in executors; the counts are added up."""
+    ship(turns.sparkSession)
     held_out = F.crc32(F.encode(F.col("conv_id").cast("string"), "utf-8")) % 4 == 2
-    sample = turns.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & ~held_out)
-    return fit(sample.orderBy(F.xxhash64("conv_id"), "conv_id", "turn").select("conv_id", "turn", "role", F.substring("text", 1, 65536).alias("text")).limit(rows).toPandas())
+    labelled = turns.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull() & ~held_out)
+    labelled = labelled.select(F.col("conv_id").cast("string").alias("conv"), F.xxhash64("conv_id").alias("h"), "turn", "role", text_or_empty("text").alias("text"))
+    order = ["h", "conv", F.col("turn").asc_nulls_first(), F.xxhash64("text"), "text"]
+    sample = labelled.orderBy(*order).limit(rows)
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = count_turns(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "text"))))
+        yield pa.RecordBatch.from_pydict({"counts": pa.array([found.tolist()], pa.list_(pa.float64()))})
+
+    counted = sample.repartition(parts, "conv").sortWithinPartitions(*order).select("conv", "role", "text").mapInArrow(count, "counts array<double>")
+    return fit(np.sum([r["counts"] for r in counted.collect()] or [[0.0] * sum(_SIZES)], axis=0))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
