@@ -75,7 +75,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             df, fmt = _load(spark, args)
             indexed = [f.strip() for f in args.index.split(",") if f.strip()] if args.index is not None else None
             m = build(df, args.output, args.chunk_size, args.chunk_by, indexed, loader.field_order(spark, args.input, fmt))
-            print(f"{m.total} records in {len(m.chunks)} chunks, by {m.config.chunk_by or 'input order'}; index: {', '.join(m.config.indexed) or 'none'}")
+            print(f"{m.total} records in {m.n_chunks} chunks, by {m.config.chunk_by or 'input order'}; index: {', '.join(m.config.indexed) or 'none'}")
         elif args.command == "inspect":
             if not loader.exists(spark, args.input):
                 raise FileNotFoundError(f"no input at {args.input}")

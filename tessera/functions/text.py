@@ -34,22 +34,18 @@ def shorten(value: object, most: int = 30) -> str:
 
 
 def value_text(c: Column, kind: T.DataType) -> Column:
-    """The text of a value, as index keys and sizes use it: numbers without a trailing ``.0``."""
+    """The text of a value, as index keys and sizes use it: numbers without zeros after the point that say nothing."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         whole = (c == F.floor(c)) & (F.abs(c) < 1e15)
         return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
-    if isinstance(kind, T.DecimalType):
-        return F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$|\.$", "$1").alias("text")
+    if isinstance(kind, T.DecimalType) and kind.scale > 0:
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return c.cast("string")
 
 
 def python_text(value: object) -> str:
-    """What ``value_text`` gives for a Python value."""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e15:
-        return str(int(value))
-    return str(value)
+    """What ``value_text`` gives for a Python value that is no number."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
 
 
 def utf16_length(text: Column) -> Column:

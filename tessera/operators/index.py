@@ -4,28 +4,29 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from functools import reduce
+from operator import or_
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.predicate import column, kind_of
 from tessera.functions.text import python_text, value_text
 from tessera.operators.layout import CHUNK
-from tessera.plans.model import NESTED, NUMBER, RANGES, Chunk, Manifest, Schema, physical_kind
+from tessera.plans.model import NESTED, NUMBER, RANGES, Chunk, Index, Manifest, Schema, number_key, physical_kind
 
 INDEX_CAP = 10_000
-
-Index = dict[str, dict[str, list[int]]]
-
+ANY = "__any"  # a field of every struct of bounds, so that none is empty
 
 def index_rows(chunked: DataFrame, fields: list[str], cap: int | None = INDEX_CAP) -> DataFrame:
     """``field, value, chunk_ids``: for each non-null value its chunks in order. Fields with over ``cap`` values are left out.
 
     Values and chunks are made distinct before they are gathered, so a frequent value costs a row per chunk.
     """
-    pairs = F.array(*[F.struct(F.lit(n).alias("field"), value_text(column(n), chunked.schema[n].dataType).alias("value")) for n in fields])
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), _key(chunked, n).alias("value")) for n in fields])
     distinct = chunked.select(CHUNK, F.explode(pairs).alias("p")).where("p.value is not null").select("p.field", "p.value", CHUNK).distinct()
     if cap is not None:
         few = distinct.select("field", "value").distinct().groupBy("field").count().where(F.col("count") <= cap).select("field")
@@ -33,20 +34,30 @@ def index_rows(chunked: DataFrame, fields: list[str], cap: int | None = INDEX_CA
     return distinct.groupBy("field", "value").agg(F.array_sort(F.collect_list(CHUNK)).alias("chunk_ids"))
 
 
+def _key(df: DataFrame, name: str) -> Column:
+    """The text of a field's values; short floats as the doubles that they are compared as."""
+    c, kind = column(name), df.schema[name].dataType
+    return value_text(c.cast("double"), T.DoubleType()) if isinstance(kind, T.FloatType) else value_text(c, kind)
+
+
 def build_index(chunked: DataFrame, schema: Schema, fields: list[str] | None = None, cap: int | None = INDEX_CAP) -> Index:
     """The index of the given fields that exist, else of the recommended ones."""
     wanted = [f.name for f in schema.fields if (f.name in fields if fields else f.indexed)]
     wanted = [n for n in wanted if physical_kind(chunked.schema[n].dataType) != NESTED]
-    out: Index = {}
+    out = Index()
     if wanted:
         for r in index_rows(chunked, wanted, cap).collect():
             out.setdefault(r["field"], {})[r["value"]] = list(r["chunk_ids"])
     return out
 
 
-def find_value(index: Index, field: str, value: Any) -> list[int] | None:
-    """The chunks of a value; none if it's absent, None if the field has no index."""
-    return index[field].get(python_text(value), []) if field in index else None
+def find_value(index: Mapping[str, dict[str, list[int]]], field: str, value: Any) -> list[int] | None:
+    """The chunks of a value; none if it's absent, None if the field has no index. Numbers are looked up as numbers."""
+    if field not in index:
+        return None
+    if kind_of(value) == NUMBER:
+        return (index if isinstance(index, Index) else Index(index)).numbers(field).get(number_key(value), [])
+    return index[field].get(python_text(value), [])
 
 
 def find_conditions(index: Index, conditions: Mapping[str, Any]) -> list[int] | None:
@@ -60,11 +71,36 @@ def index_size(index: Index) -> int:
     return len(json.dumps(index, separators=(",", ":"), ensure_ascii=False).encode("utf-16-le")) // 2
 
 
-def _within(chunk: Chunk, field: str, op: str, operand: Any) -> bool:
+def _order(value: Any) -> tuple[bool, float]:
+    """Sorts as Spark does: NaN is beyond all numbers."""
+    key = number_key(value)
+    return (True, 0.0) if key == "NaN" else (False, key)
+
+
+def _within(chunk: Chunk, field: str, op: str, operand: Any, whole: bool) -> bool:
+    """Whether the chunk's range can hold a number that meets the condition.
+
+    Spark compares numbers of different types as doubles or decimals. Order among doubles never contradicts
+    either, but may call unequal numbers equal; so bounds are exact here only where all operands are ``whole``.
+    """
     if field not in chunk.ranges:
         return False  # all null there: no value can match
     low, high = chunk.ranges[field]
-    return {"eq": low <= operand <= high, "gt": high > operand, "gte": high >= operand, "lt": low < operand, "lte": low <= operand}[op]
+    if whole and isinstance(low, int) and isinstance(high, int):
+        return {"eq": low <= operand <= high, "gt": high > operand, "gte": high >= operand, "lt": low < operand, "lte": low <= operand}[op]
+    low, high, operand = map(_order, (low, high, operand))
+    return {"eq": low <= operand <= high, "gt": high >= operand, "gte": high >= operand, "lt": low <= operand, "lte": low <= operand}[op]
+
+
+def _prunable(where: Mapping[str, Any], kinds: Mapping[str, str]) -> Iterator[tuple[str, str, list[Any]]]:
+    """(field, operator, values) of the conditions that can skip chunks; equality and lists are ``eq`` with any of the values."""
+    for field, condition in where.items():
+        ops = dict(condition) if isinstance(condition, Mapping) else {"eq": condition}
+        for op, operand in ops.items():
+            values = list(operand) if op == "in" else [operand]
+            if op not in ("eq", "in", *RANGES) or any(v is None or isinstance(v, (list, tuple, dict, dt.date)) or kind_of(v) != kinds.get(field) for v in values):
+                continue
+            yield field, "eq" if op == "in" else op, values
 
 
 def prune(manifest: Manifest, where: Mapping[str, Any], kinds: Mapping[str, str]) -> list[int]:
@@ -74,17 +110,55 @@ def prune(manifest: Manifest, where: Mapping[str, Any], kinds: Mapping[str, str]
     numeric columns. Nulls, ``neq`` and text operators prune nothing.
     """
     keep = {c.id for c in manifest.chunks}
-    for field, condition in where.items():
-        ops = dict(condition) if isinstance(condition, Mapping) else {"eq": condition}
-        for op, operand in ops.items():
-            values = list(operand) if op == "in" else [operand]
-            if op not in ("eq", "in", *RANGES) or any(v is None or isinstance(v, (list, tuple, dict, dt.date)) or kind_of(v) != kinds.get(field) for v in values):
-                continue
-            if op in ("eq", "in") and field in manifest.index:
-                keep &= {c for v in values for c in find_value(manifest.index, field, v)}
-            if kinds[field] == NUMBER:
-                test = "eq" if op in ("eq", "in") else op
-                keep &= {c.id for c in manifest.chunks if any(_within(c, field, test, v) for v in values)}
+    for field, op, values in _prunable(where, kinds):
+        if op == "eq" and field in manifest.index:
+            keep &= {c for v in values for c in find_value(manifest.index, field, v)}
+        if kinds[field] == NUMBER:
+            whole = all(isinstance(v, int) for v in values)
+            keep &= {c.id for c in manifest.chunks if any(_within(c, field, op, v, whole) for v in values)}
     return sorted(keep)
 
 
+def prune_table(chunks: DataFrame, index: DataFrame, where: Mapping[str, Any], kinds: Mapping[str, str], indexed: list[str]) -> DataFrame:
+    """The same over tables: of ``chunks`` (id, file, low, high) the rows that can hold matches.
+
+    ``low`` and ``high`` have a double for each numeric field, null where the chunk has no value; ``index`` has
+    (field, value, number, chunk_ids), with the number's double for numeric fields.
+    """
+    double = lambda v: F.lit(float("nan") if (k := number_key(v)) == "NaN" else k + 0.0)
+    for field, op, values in _prunable(where, kinds):
+        if kinds[field] == NUMBER:
+            low, high = (F.col(side).getField(field) for side in ("low", "high"))
+            tests = {"eq": lambda v: (low <= v) & (high >= v), "gt": lambda v: high >= v, "gte": lambda v: high >= v, "lt": lambda v: low <= v, "lte": lambda v: low <= v}  # noqa: B023
+            chunks = chunks.where(reduce(or_, [tests[op](double(v)) for v in values], F.lit(False)))
+        if op == "eq" and field in indexed:
+            hit = F.col("number").isin([double(v) for v in values]) if kinds[field] == NUMBER else F.col("value").isin([python_text(v) for v in values])
+            ids = index.where((F.col("field") == field) & hit).select(F.explode("chunk_ids").alias("id")).distinct()
+            chunks = chunks.join(ids, "id", "left_semi")
+    return chunks
+
+
+def index_table(rows: DataFrame, numeric: list[str]) -> DataFrame:
+    """``index_rows`` with the number of each numeric field's value."""
+    number = F.when(F.col("field").isin(numeric), F.expr("try_cast(value AS double)") + F.lit(0.0))
+    return rows.select("field", "value", number.alias("number"), "chunk_ids")
+
+
+def chunk_table(stats: DataFrame, fields: list[str], numeric: list[str], folder: str) -> DataFrame:
+    """(id, count, byte_size, file, low, high) from ``layout.chunk_stats`` of these fields."""
+    bounds = lambda side: F.struct(F.lit(True).alias(ANY), *[F.col(f"{side}{i}").cast("double").alias(f) for i, f in enumerate(fields) if f in numeric])
+    file = F.concat(F.lit(f"{folder}/"), F.col("file"))
+    return stats.select(F.col(CHUNK).alias("id"), "count", F.col("byte_size").cast("bigint").alias("byte_size"), file.alias("file"), bounds("min").alias("low"), bounds("max").alias("high"))
+
+
+def as_tables(spark: SparkSession, manifest: Manifest, numeric: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The chunk and index tables of what the manifest itself lists."""
+
+    def side(chunk: Chunk, k: int) -> tuple:
+        return True, *(float(chunk.ranges[f][k]) if f in chunk.ranges else None for f in numeric)
+
+    bounds = ", ".join([f"`{ANY}`: boolean", *(f"`{f.replace('`', '``')}`: double" for f in numeric)])
+    rows = [(c.id, c.count, c.byte_size, c.file, side(c, 0), side(c, 1)) for c in manifest.chunks]
+    chunks = spark.createDataFrame(rows, f"id int, count bigint, byte_size bigint, file string, low struct<{bounds}>, high struct<{bounds}>")
+    index = spark.createDataFrame([(f, v, ids) for f, values in manifest.index.items() for v, ids in values.items()], "field string, value string, chunk_ids array<int>")
+    return chunks, index_table(index, numeric)

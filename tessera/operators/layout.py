@@ -9,6 +9,7 @@ in order, which gives every partition its true start, and a second pass writes c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ from tessera.runtime import cut, ship
 from tessera.sources.loader import ORDINAL
 
 CHUNK, SIZE = "chunk_id", "__size"
+ADDED = {"before": 2, "after": 0}  # bytes of a chunk beside its rows
+ROWS_PER_RANGE = 2_000_000  # more ranges than shuffle partitions where they'd hold more rows
 
 
 def build_key(name: str, kind: T.DataType) -> Column:
@@ -103,7 +106,12 @@ class Fold:
 
 
 def assign_chunks(df: DataFrame, target: int, chunk_by: str | None = None, ordinal: str = ORDINAL, rule: str = "before") -> DataFrame:
-    """``df`` with ``chunk_id`` and its place in build order, ``__pos``.
+    """``df`` with ``chunk_id`` and its place in build order, ``__pos``; see ``pack_chunks``."""
+    return pack_chunks(df, target, chunk_by, ordinal, rule)[0]
+
+
+def pack_chunks(df: DataFrame, target: int, chunk_by: str | None = None, ordinal: str = ORDINAL, rule: str = "before") -> tuple[DataFrame, int]:
+    """(``df`` with ``chunk_id`` and its place in build order, ``__pos``; how many chunks there are).
 
     ``before`` closes a chunk before the row that would exceed the target (a larger row has a chunk of its
     own); ``after`` closes it once it has reached the target. Sizes are those of ``with_size``, unless ``df`` has
@@ -112,7 +120,8 @@ def assign_chunks(df: DataFrame, target: int, chunk_by: str | None = None, ordin
     if target < 1 or rule not in ("before", "after"):
         raise ValueError("the target is at least 1 byte, the rule 'before' or 'after'")
     ship(df.sparkSession)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = stable(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
     key = [build_key(chunk_by, df.schema[chunk_by].dataType).alias("__key")] if chunk_by else []
     order = [c.asc_nulls_first() for c in ([F.col("__key")] if chunk_by else []) + [F.col("__at")]]
     df = df if SIZE in df.columns else with_size(df, ordinal, rule)
@@ -151,29 +160,45 @@ def assign_chunks(df: DataFrame, target: int, chunk_by: str | None = None, ordin
             yield pd.DataFrame({"__at": at[some], CHUNK: ids[some].astype(np.int32), "__pos": (part << 33) + np.arange(i, i + len(at[some]))})
 
     placed = slim.mapInPandas(number, f"__at bigint, {CHUNK} int, __pos bigint")
-    return df.join(placed, column(ordinal) == F.col("__at")).drop("__at")
+    return df.join(placed, column(ordinal) == F.col("__at")).drop("__at"), chunks
+
 
+def stable(df: DataFrame) -> DataFrame:
+    """``df``, checkpointed unless it only reads files and checkpoints row by row, so that a second reading numbers its rows alike."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    steady = ("Project", "Filter", "FileScan", "Scan", "ColumnarToRow", "BatchScan", "WholeStageCodegen", "AdaptiveSparkPlan", "LocalTableScan", "Range")
+    nodes = [re.sub(r"^[\s:+*()\d-]*", "", line) for line in plan.split("\n")]
+    return df if all(not n or n.startswith(steady) for n in nodes) else cut(df)
 
-def zone_ranges(schema: Schema) -> list[str]:
-    return [f.name for f in schema.fields if f.type in (NUMBER, DATE, STRING)]
 
+def range_fields(schema: Schema, rows: DataFrame) -> list[str]:
+    """The fields whose bounds a chunk's entry has."""
+    kinds = (NUMBER, DATE, STRING)
+    return [f.name for f in schema.fields if f.type in kinds and physical_kind(rows.schema[f.name].dataType) in kinds]
 
-def chunk_stats(chunked: DataFrame, fields: list[str], size: Column, added: int = 2) -> DataFrame:
-    """A row for each chunk: rows, bytes, and the least and greatest value of each field in build order."""
+
+def chunk_stats(chunked: DataFrame, fields: list[str], size: Column, added: int = 2, file: Column | None = None) -> DataFrame:
+    """A row for each chunk: rows, bytes, the least and greatest value of each field in build order, and its file."""
     aggs = [F.count("*").alias("count"), (F.sum(size) + added).alias("byte_size")]
     for i, name in enumerate(fields):
         c, key = column(name), build_key(name, chunked.schema[name].dataType)
         plain = physical_kind(chunked.schema[name].dataType) in (NUMBER, DATE)
         aggs += [F.min(c).alias(f"min{i}"), F.max(c).alias(f"max{i}")] if plain else [F.min_by(c, key).alias(f"min{i}"), F.max_by(c, key).alias(f"max{i}")]
-    return chunked.groupBy(CHUNK).agg(*aggs)
+    return chunked.groupBy(CHUNK).agg(*aggs, *([F.min(file).alias("file"), F.max(file).alias("last_file")] if file is not None else []))
+
 
+def chunk_metadata(chunked: DataFrame, schema: Schema, size: Column, rule: str = "before", folder: str | None = None) -> list[Chunk]:
+    """The chunks in order, for the manifest. Fields that are null throughout a chunk have no range there.
 
-def chunk_metadata(chunked: DataFrame, schema: Schema, size: Column, rule: str = "before") -> list[Chunk]:
-    """The chunks in order, for the manifest. Fields that are null throughout a chunk have no range there."""
-    fields, out = [f for f in zone_ranges(schema) if physical_kind(chunked.schema[f].dataType) in (NUMBER, DATE, STRING)], []
-    for r in chunk_stats(chunked, fields, size, 2 if rule == "before" else 0).orderBy(CHUNK).collect():
+    With a ``folder``, ``chunked`` reads files of that name, and each chunk gets the name of its file.
+    """
+    fields, out = range_fields(schema, chunked), []
+    file = F.col("_metadata.file_name") if folder else None
+    for r in chunk_stats(chunked, fields, size, ADDED[rule], file).orderBy(CHUNK).collect():
         ranges = {n: (r[f"min{i}"], r[f"max{i}"]) for i, n in enumerate(fields) if r[f"min{i}"] is not None}
-        out.append(Chunk(r[CHUNK], r["count"], r["byte_size"], ranges))
+        if folder and r["file"] != r["last_file"]:
+            raise ValueError(f"chunk {r[CHUNK]} lies in several files")
+        out.append(Chunk(r[CHUNK], r["count"], r["byte_size"], ranges, f"{folder}/{r['file']}" if folder else ""))
     return out
 
 

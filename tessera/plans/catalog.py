@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import row_size, streaming_row_size
 from tessera.operators import index as ix
 from tessera.operators import layout, profile
 from tessera.plans.query import Dataset
@@ -83,8 +85,8 @@ for _fmt in ("json", "ndjson", "csv", "parquet"):
     _round_trip(_fmt)
 
 
-@query("scan_chunked_json", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey <= 300")
-def scan_chunked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chunked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` through JSON chunks and the data source over them."""
     register(spark)
     orders = table(spark, sf_dir, "orders").drop("o_orderdate")
     path = scratch(spark, "store")
@@ -92,13 +94,26 @@ def scan_chunked_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     export_json(Store(spark, path), f"{path}/json")
     plain = lambda p: p.removeprefix("file:") if not p.startswith("file:///") else p.removeprefix("file://")
     reader = spark.read.format("chunked_json").schema(orders.schema).option("manifest", plain(f"{path}/manifest.json"))
-    return reader.load(plain(f"{path}/json")).where(F.col("o_orderkey") <= 300)
+    return reader.load(plain(f"{path}/json"))
+
+
+_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+query("scan_chunked_json", _ORDERS)(_chunked_json)
+query("prune_chunked_json", f"{_ORDERS} WHERE o_orderkey BETWEEN 200 AND 300")(lambda spark, d: _chunked_json(spark, d).where(F.col("o_orderkey").between(200, 300)))
 
 
 @query("head_sample", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 100")
 def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.orderBy("event_id").limit(100).select("event_id", "event_type")
+    return loader.head(table(spark, sf_dir, "events"), 100).select("event_id", "event_type")
+
+
+@query("json_array_converted", "SELECT * FROM nation")
+def json_array_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON array, cut into lines once, so that many tasks can read it."""
+    nation, path = table(spark, sf_dir, "nation"), scratch(spark, "nation")
+    nation.agg(F.collect_list(F.to_json(F.struct("*"))).alias("rows")).select(F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]")).alias("value")).write.text(f"{path}/array")
+    loader.convert_json_array(spark, f"{path}/array", f"{path}/lines", per_file=10)
+    return loader.load(spark, f"{path}/lines", "ndjson").select(*[F.col(f.name).cast(f.dataType) for f in nation.schema.fields])
 
 
 # -- filters -------------------------------------------------------------------------------------------
@@ -166,10 +181,15 @@ _paged("natural_order_limit", "events", {"where": {"event_type": {"neq": "view"}
 _paged("string_sort_limit", "part", {"orderBy": {"field": "p_name", "direction": "desc"}, "limit": 25}, ["p_partkey"], "ORDER BY p_name DESC, p_partkey LIMIT 25")
 
 
-@query("order_desc_nulls_last", f"SELECT * FROM ({_STATUS}) ORDER BY status DESC NULLS LAST, o_orderkey LIMIT 14800")
+@query(
+    "order_desc_nulls_last",
+    f"SELECT o_orderkey, status FROM (SELECT *, row_number() OVER (ORDER BY status DESC NULLS LAST, o_orderkey) AS place, count(status) OVER () AS n FROM ({_STATUS})) WHERE place > n - 50 AND place <= n + 50",
+)
 def order_desc_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"))
-    return Dataset(orders, order=["o_orderkey"]).query({"orderBy": {"field": "status", "direction": "desc"}, "limit": 14800}).execute()
+    """The page around the place where the nulls begin, at every size."""
+    orders = Dataset(table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status")), order=["o_orderkey"])
+    with_status = orders.count({"status": {"neq": None}})
+    return orders.query({"orderBy": {"field": "status", "direction": "desc"}, "offset": with_status - 50, "limit": 100}).execute()
 
 
 @query("first", "SELECT * FROM orders WHERE o_orderstatus = 'P' ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 2")
@@ -183,6 +203,12 @@ def count_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Dataset(table(spark, sf_dir, "lineitem")).query().count_df()
 
 
+@query("count_manifest", "SELECT count(*) AS n FROM orders")
+def count_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without conditions a store counts by its manifest."""
+    return spark.createDataFrame([(_store(spark, sf_dir, chunk_by="o_orderkey").count(),)], "n bigint")
+
+
 @query("count_filtered", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30")
 def count_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = Dataset(table(spark, sf_dir, "lineitem"))
@@ -229,7 +255,34 @@ query(
     "index_recommend",
     _values([("customer", "c_mktsegment"), ("documents", "lang,source"), ("labels", "quality,toxic"), ("orders", "o_orderpriority,o_orderstatus"), ("part", "p_brand,p_name,p_size,p_type"), ("pages", ""), ("supplier", ""), ("nation", "")], "indexes"),
 )(lambda spark, d: _choices(spark, d).select("dataset", F.nullif("indexes", F.lit("")).alias("indexes")))
-query("chunk_field")(lambda spark, d: _choices(spark, d).select("dataset", "chunk_field"))
+#: Fields in input order, and whether they are numbers or dates.
+_CHUNKABLE = {
+    "customer": {"c_custkey": 1, "c_name": 0, "c_nationkey": 1, "c_acctbal": 1, "c_mktsegment": 0},
+    "documents": {"doc_id": 1, "text": 0, "lang": 0, "source": 0, "n_chars": 1},
+    "labels": {"doc_id": 1, "quality": 1, "toxic": 1},
+    "orders": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 0, "o_totalprice": 1, "o_orderdate": 1, "o_orderpriority": 0},
+    "part": {"p_partkey": 1, "p_name": 0, "p_brand": 0, "p_type": 0, "p_size": 1, "p_retailprice": 1},
+    "pages": {"page_id": 1, "url": 0, "html": 0},
+    "supplier": {"s_suppkey": 1, "s_name": 0, "s_nationkey": 1, "s_acctbal": 1},
+    "nation": {"n_nationkey": 1, "n_name": 0, "n_regionkey": 1},
+}
+
+
+def _chunk_field_sql() -> str:
+    """The primary field, the first unique and complete one named like a key; else the complete field of the highest score, the first by name."""
+    fields = " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset, '{f}' AS field, {i} AS place, {plain} AS plain, least(count(DISTINCT {f}), {profile.CARDINALITY_CAP}) AS n, count({f}) AS present, count(*) AS total FROM {t}"
+        for t, fs in _CHUNKABLE.items()
+        for i, (f, plain) in enumerate(fs.items())
+    )
+    return f"""
+    WITH f AS ({fields}),
+    g AS (SELECT *, n / total AS ratio, (contains(field, 'id') OR field = 'key') AND n = total AND present = total AS is_key FROM f WHERE present = total),
+    s AS (SELECT *, 50 * plain + CASE WHEN ratio > 0.1 THEN 30 * ratio ELSE 0 END + 20 * contains(field, 'id')::INT + 15 * (contains(field, 'date') OR contains(field, 'time'))::INT AS score FROM g)
+    SELECT dataset, first(field ORDER BY is_key DESC, CASE WHEN is_key THEN place ELSE 0 END, score DESC, field) AS chunk_field FROM s GROUP BY dataset"""
+
+
+query("chunk_field", _chunk_field_sql())(lambda spark, d: _choices(spark, d).select("dataset", "chunk_field"))
 
 # -- layout -------------------------------------------------------------------------------------------------
 
@@ -264,6 +317,22 @@ query("chunk_assign_streaming", _fold_sql("after", "SELECT o_orderkey, chunk_id
 query("oversize_row", _fold_sql("before", "SELECT o_orderkey, chunk_id FROM c", 130))(lambda spark, d: _packed(spark, d, "before", 130).select("o_orderkey", "chunk_id"))
 
 
+@query("row_sizes", "SELECT n_nationkey, length(to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR)::BIGINT AS size FROM nation")
+def row_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", row_size(nation).cast("bigint").alias("size"))
+
+
+@query(
+    "row_sizes_streaming",
+    """SELECT s_suppkey, (2 + length('s_suppkey') + length('s_name') + length('s_nationkey') + length('s_acctbal') + 12 + length(s_suppkey::VARCHAR) + length(s_name) + 2 + length(s_nationkey::VARCHAR)
+      + length(CASE WHEN s_acctbal = floor(s_acctbal) THEN s_acctbal::BIGINT::VARCHAR ELSE s_acctbal::VARCHAR END))::BIGINT AS size FROM supplier""",
+)
+def row_sizes_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = table(spark, sf_dir, "supplier")
+    return supplier.select("s_suppkey", streaming_row_size(supplier).alias("size"))
+
+
 @query("chunk_meta", _fold_sql("before", _CHUNKS))
 def chunk_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = layout.chunk_stats(_packed(spark, sf_dir, "before"), ["o_orderkey", "o_orderstatus"], F.col(layout.SIZE))
@@ -299,10 +368,16 @@ def index_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.index_rows(_chunked_events(spark, sf_dir), ["event_type", "event_id"], cap=100).select("field").distinct()
 
 
+def _events_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    out = ix.Index()
+    for r in ix.index_rows(_chunked_events(spark, sf_dir), ["user_id", "event_type"]).toLocalIterator():
+        out.setdefault(r["field"], {})[r["value"]] = r["chunk_ids"]
+    return out
+
+
 @query("find_value", "SELECT DISTINCT (event_id // 500)::INT AS chunk_id FROM events WHERE user_id = 7")
 def find_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.index_rows(_chunked_events(spark, sf_dir), ["user_id"]).where(F.col("value") == "7")
-    return rows.select(F.explode("chunk_ids").alias("chunk_id"))
+    return spark.createDataFrame([(c,) for c in ix.find_value(_events_index(spark, sf_dir), "user_id", 7)], "chunk_id int")
 
 
 @query(
@@ -310,11 +385,8 @@ def find_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT DISTINCT (event_id // 500)::INT AS chunk_id FROM events WHERE user_id = 7 INTERSECT SELECT DISTINCT (event_id // 500)::INT FROM events WHERE event_type = 'click'",
 )
 def find_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ix.index_rows(_chunked_events(spark, sf_dir), ["user_id", "event_type"])
-    index: ix.Index = {}
-    for r in rows.where(((F.col("field") == "user_id") & (F.col("value") == "7")) | ((F.col("field") == "event_type") & (F.col("value") == "click"))).collect():
-        index.setdefault(r["field"], {})[r["value"]] = r["chunk_ids"]
-    return spark.createDataFrame([(c,) for c in ix.find_conditions(index, {"user_id": 7, "event_type": "click"}) or []], "chunk_id int")
+    found = ix.find_conditions(_events_index(spark, sf_dir), {"user_id": 7, "event_type": "click"})
+    return spark.createDataFrame([(c,) for c in found or []], "chunk_id int")
 
 
 # -- stores --------------------------------------------------------------------------------------------------------
@@ -356,9 +428,38 @@ def prune_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differing"))
 
 
+def _odd_numbers(spark: SparkSession, sf_dir: str) -> Store:
+    """Events with doubles whose texts differ between engines, and with decimals."""
+    events, path = table(spark, sf_dir, "events"), scratch(spark, "store")
+    odd = F.when(F.col("event_id") % 5 == 0, 1e-4).when(F.col("event_id") % 5 == 1, 1e16).when(F.col("event_id") % 5 == 2, 99.0).when(F.col("event_id") % 5 == 3, -0.0).otherwise(F.col("event_id") / 8)
+    build(events.select("event_id", odd.alias("x"), ((F.col("event_id") % 500) / 100).cast("decimal(12,2)").alias("price")), path, TARGET, "event_id", ["x", "price"], cap=None)
+    return Store(spark, path)
+
+
+_ODD = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.0001::DOUBLE WHEN 1 THEN 1e16 WHEN 2 THEN 99.0 WHEN 3 THEN -0.0 ELSE event_id / 8 END AS x, ((event_id % 500) / 100)::DECIMAL(12, 2) AS price FROM events)"
+
+
+@query("prune_double", f"SELECT event_id FROM {_ODD} WHERE x IN (0.0001, 1e16, 12.5) OR (x >= 0 AND x < 0.0002)")
+def prune_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _odd_numbers(spark, sf_dir)
+    listed = store.query({"where": {"x": {"in": [0.0001, 1e16, 12.5]}}}).execute()
+    small = store.query({"where": {"x": {"gte": 0, "lt": 0.0002}}}).execute()
+    return listed.unionByName(small).select("event_id").distinct()
+
+
+@query("prune_decimal", f"SELECT event_id FROM {_ODD} WHERE price IN (1.50, 2.00, 0.07) OR (price > 4.25 AND price <= 4.50)")
+def prune_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _odd_numbers(spark, sf_dir)
+    listed = store.query({"where": {"price": {"in": [Decimal("1.50"), 2, Decimal("0.07")]}}}).execute()
+    some = store.query({"where": {"price": {"gt": Decimal("4.25"), "lte": Decimal("4.5")}}}).execute()
+    return listed.unionByName(some).select("event_id").distinct()
+
+
 @query("get_pk", "SELECT * FROM documents WHERE doc_id = 42")
 def get_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _store(spark, sf_dir, "documents").query({"where": {"doc_id": 42}, "limit": 1}).execute()
+    store = _store(spark, sf_dir, "documents", primary="doc_id")
+    row = store.get(42)
+    return spark.createDataFrame([row] if row else [], store.query().execute().schema)
 
 
 @query("get_missing", "SELECT * FROM labels WHERE false")
@@ -384,3 +485,15 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         orders.where(F.col("o_orderkey") % 2 == turn).coalesce(1).write.mode("append").parquet(f"{base}/in")
         ingest.ingest(spark, f"{base}/in", "parquet", orders.schema, f"{base}/store", f"{base}/progress", chunk_size=TARGET * 10, chunk_by="o_orderkey", indexed=["o_orderstatus"])
     return Store(spark, f"{base}/store").query().execute().select(*orders.columns)
+
+
+@query("append_again", "SELECT * FROM orders")
+def append_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that is run again, after files of a failed attempt were left behind, is in the store once."""
+    path, orders = scratch(spark, "store"), table(spark, sf_dir, "orders")
+    build(orders.where("o_orderkey % 2 = 0"), path, TARGET * 10, "o_orderkey", ["o_orderstatus"])
+    late = orders.where("o_orderkey % 2 = 1")
+    late.write.parquet(f"{path}/data/left-behind")
+    for _ in range(2):
+        ingest.append(path, late, "orders", 0)
+    return Store(spark, path).query().execute().select(*orders.columns)

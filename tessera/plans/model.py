@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from dataclasses import asdict, dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import types as T
@@ -83,6 +85,7 @@ class Chunk:
     count: int
     byte_size: int
     ranges: dict[str, tuple[Any, Any]] = field(default_factory=dict)
+    file: str = ""  # the file that holds the chunk, below the store's folder
 
 
 @dataclass
@@ -93,21 +96,90 @@ class BuildConfig:
     cut: str = "before"  # "after" cuts a chunk once it has reached the target, as incremental builds do
 
 
+class Index(dict):
+    """field -> text of a value -> chunks in order."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self._numbers: dict[str, dict[float, list[int]]] = {}
+
+    def numbers(self, name: str) -> dict[float, list[int]]:
+        """The chunks by number, for a numeric field: numbers have several texts, and are looked up as doubles.
+
+        Values that are equal for any numeric types are equal as doubles, so a lookup finds all their chunks, and
+        may find more where whole numbers lie beyond 2^53.
+        """
+        if name not in self._numbers:
+            out: dict[float, set[int]] = {}
+            for text, ids in self[name].items():
+                try:
+                    out.setdefault(number_key(float(text)), set()).update(ids)
+                except ValueError:
+                    pass  # the field holds strings
+            self._numbers[name] = {k: sorted(ids) for k, ids in out.items()}
+        return self._numbers[name]
+
+
+def number_key(value: Any) -> Any:
+    """The number as a double that equals itself: NaN is one value, as it is for Spark."""
+    try:
+        value = float(value)
+    except OverflowError:  # beyond any double
+        return float("inf") if value > 0 else float("-inf")
+    return "NaN" if value != value else value
+
+
 @dataclass
 class Manifest:
+    """What a store holds. Chunks that aren't listed here don't belong to it, whatever files there are.
+
+    Few chunks and their index are listed in the manifest itself; many are listed in tables under ``lists/``, of
+    which the manifest has only the names.
+    """
+
     schema: Schema
     chunks: list[Chunk]
     index: dict[str, dict[str, list[int]]]
     total: int
     config: BuildConfig
-    version: int = 1
+    physical: str = ""  # the Spark schema of the chunk files, as JSON
+    epochs: dict[str, int] = field(default_factory=dict)  # the last batch of each stream that is in
+    lists: list[str] = field(default_factory=list)
+    listed: int = 0  # chunks in the lists
+    version: int = 2
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), separators=(",", ":"), default=str)
+        return json.dumps(asdict(self), separators=(",", ":"), default=_tagged)
 
     @staticmethod
     def from_json(text: str) -> Manifest:
-        raw = json.loads(text)
+        raw = json.loads(text, object_hook=_untagged)
         fields = [Field(**(f | {"stats": FieldStats(**f["stats"])})) for f in raw["schema"]["fields"]]
         chunks = [Chunk(**(c | {"ranges": {k: tuple(v) for k, v in c["ranges"].items()}})) for c in raw["chunks"]]
-        return Manifest(Schema(fields, raw["schema"]["primary"]), chunks, raw["index"], raw["total"], BuildConfig(**raw["config"]), raw["version"])
+        same = {k: raw[k] for k in ("total", "physical", "epochs", "lists", "listed", "version")}
+        return Manifest(schema=Schema(fields, raw["schema"]["primary"]), chunks=chunks, index=Index(raw["index"]), config=BuildConfig(**raw["config"]), **same)
+
+    @property
+    def spark_schema(self) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.physical))
+
+    @property
+    def n_chunks(self) -> int:
+        return self.listed or len(self.chunks)
+
+
+def _tagged(value: Any) -> dict[str, str]:
+    """What JSON has no type for, with its type's name."""
+    for kind, name in ((Decimal, "$decimal"), (dt.datetime, "$timestamp"), (dt.date, "$date")):
+        if isinstance(value, kind):
+            return {name: str(value) if kind is Decimal else value.isoformat()}
+    raise TypeError(f"a manifest can't hold {type(value).__name__}")
+
+
+def _untagged(raw: dict[str, Any]) -> Any:
+    if len(raw) == 1:
+        (name, text), = raw.items()
+        read = {"$decimal": Decimal, "$timestamp": dt.datetime.fromisoformat, "$date": dt.date.fromisoformat}.get(name)
+        if read and isinstance(text, str):
+            return read(text)
+    return raw

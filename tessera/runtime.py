@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset on one machine, as in tests, a
+    temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.getCheckpointDir() is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()

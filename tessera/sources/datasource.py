@@ -26,12 +26,12 @@ class ChunkedJsonReader(DataSourceReader):
         self.schema, self.folder = schema, options["path"]
         with open(options["manifest"], encoding="utf-8") as f:
             self.manifest = Manifest.from_json(f.read())
-        self.ids = [c.id for c in self.manifest.chunks]
+        self.ids = list(range(self.manifest.n_chunks))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         kinds = {f.name: physical_kind(f.dataType) for f in self.schema.fields}
         for f in filters:
-            if type(f) in _OPS and len(f.attribute) == 1:
+            if type(f) in _OPS and len(f.attribute) == 1 and not self.manifest.lists:
                 keep = prune(self.manifest, {f.attribute[0]: {_OPS[type(f)]: list(f.value) if isinstance(f, In) else f.value}}, kinds)
                 self.ids = [i for i in self.ids if i in set(keep)]
             yield f  # Spark filters the rows

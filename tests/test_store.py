@@ -2,6 +2,8 @@ import json
 import random
 import subprocess
 import sys
+from datetime import date, datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -11,10 +13,10 @@ from tessera.cli import main, report, types_of
 from tessera.operators import index as ix
 from tessera.operators import layout, profile
 from tessera.plans.codegen import generate
-from tessera.plans.model import Field, FieldStats, Schema, merge_types
+from tessera.plans.model import BuildConfig, Chunk, Field, FieldStats, Manifest, Schema, merge_types
 from tessera.sources import loader
 from tessera.sources.datasource import register
-from tessera.sources.store import Store, build, export_json
+from tessera.sources.store import Store, build, export_json, vacuum
 from tessera.streaming import ingest
 
 
@@ -160,8 +162,131 @@ def test_pruning_never_changes_results(spark, tmp_path):
     assert len(pruned.candidates({"x": {"gte": 9.5}})) < len(pruned.manifest.chunks) and pruned.candidates({"s": "zzz"}) == []
 
 
+ODD_DOUBLES = [1e-4, 1e16, 99.0, -0.0, 0.1, 1.5e300, 2.0**53, 2.2250738585072014e-308, float("nan"), float("inf"), -12.25, None]
+
+
+def test_pruning_odd_numbers_never_changes_results(spark, tmp_path):
+    rng = random.Random(3)
+    big = [2**53, 2**53 + 1, -(2**53) - 1, 2**62, 7, 0, None]
+    money = [Decimal("10.00"), Decimal("0.10"), Decimal("1000000000000.01"), Decimal("0.00"), Decimal("-3.50"), None]
+    rows = [(i, rng.choice(ODD_DOUBLES), rng.choice(money), rng.choice(big), rng.choice([0.1, 2.5, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, d double, m decimal(20,2), b bigint, f float")
+    for chunk_by in ("d", "m", "b"):
+        path = str(tmp_path / chunk_by)
+        build(df, path, 700, chunk_by, ["d", "m", "b", "f"])
+        pruned, whole = Store(spark, path), Store(spark, path, pruning=False)
+        pools = {"d": [*ODD_DOUBLES, 99, 1, Decimal("0.1")], "m": [*money, 10, 10.0, 0.1, Decimal("10"), Decimal("1E+1")], "b": [*big, float(2**53), 7.0], "f": [0.1, 2.5, float(np.float32(0.1))]}
+        for _ in range(15):
+            field = rng.choice(list(pools))
+            op = rng.choice(["eq", "in", "gt", "gte", "lt", "lte"])
+            value = rng.choice(pools[field])
+            if value is None and op not in ("eq", "in"):
+                continue
+            where = {field: {op: [value, rng.choice(pools[field])] if op == "in" else value}}
+            got, want = (sorted(r["id"] for r in s.query({"where": where}).execute().collect()) for s in (pruned, whole))
+            assert got == want, (chunk_by, where)
+    assert Store(spark, str(tmp_path / "d")).count({"d": 1e-4}) == sum(r[1] == 1e-4 for r in rows) > 0
+    assert ix.find_value(pruned.manifest.index, "m", Decimal("10")) == ix.find_value(pruned.manifest.index, "m", 10.0) != []
+
+
+def test_manifest_keeps_types():
+    ranges = {"m": (Decimal("1.50"), Decimal("2")), "t": (datetime(2024, 1, 2, 3, 4, 5, 678), datetime(2025, 1, 1)), "d": (date(2024, 1, 2), date(2024, 2, 2)), "n": (2**62, float("inf"))}
+    manifest = Manifest(Schema([Field("m", "number", stats=FieldStats(min=Decimal("1.50")))]), [Chunk(0, 1, 2, ranges)], ix.Index({"m": {"1.5": [0]}}), 1, BuildConfig())
+    assert Manifest.from_json(manifest.to_json()) == manifest
+
+
+def test_lists_prune_as_the_manifest_does(spark, frame, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, rng.choice(ODD_DOUBLES), rng.choice([None, *range(12)]), rng.choice([None, "a", "b", "c"]), rng.random() < 0.5) for i in range(240)]
+    df = spark.createDataFrame(rows, "id int, `d.x` double, n bigint, s string, b boolean")
+    inline, listed = str(tmp_path / "inline"), str(tmp_path / "listed")
+    build(df, inline, 700, "n", ["n", "s", "b", "d.x"])
+    monkeypatch.setattr("tessera.sources.store.INLINE", 2)
+    manifest = build(df, listed, 700, "n", ["n", "s", "b", "d.x"])
+    one, two = Store(spark, inline), Store(spark, listed)
+    assert not manifest.chunks and not manifest.index and len(manifest.lists) == 1 and two.manifest.n_chunks == one.manifest.n_chunks > 5 and two.count() == 240
+    for where in ({"n": 3}, {"n": {"gte": 4, "lt": 9}}, {"n": {"in": [1, 7]}, "s": "b"}, {"s": "zz"}, {"d.x": 1e-4}, {"d.x": {"gt": 90}}, {"d.x": float("nan")}, {"b": True, "n": 2}, {"n": None}, {"d.x": {"in": [0.0, -12.25]}}, {}):
+        assert set(two.candidates(where)) >= set(one.candidates(where)), where
+        got, want = (sorted(r["id"] for r in x.query({"where": where}).execute().collect()) for x in (two, one))
+        assert got == want, where
+    assert [r["id"] for r in two.chunk(3).collect()] == [r["id"] for r in one.chunk(3).collect()] and len(two.candidates({"n": 3})) < two.manifest.n_chunks
+    two.cache()
+    assert two.count({"n": 3}) == one.count({"n": 3})
+    two.clear_cache()
+    assert vacuum(spark, listed) == []
+
+
+def test_a_manifest_that_outgrows_itself(spark, frame, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    build(frame.where("age < 40"), path, "1kb", "id", ["city"])
+    small = Store(spark, path).manifest
+    assert small.chunks and not small.lists
+    monkeypatch.setattr("tessera.sources.store.INLINE", len(small.chunks))
+    ingest.append(path, frame.where("age >= 40"), "x", 1)
+    store = Store(spark, path)
+    assert len(store.manifest.lists) == 2 and not store.manifest.chunks and store.count() == store.query().execute().count() == 50
+    assert store.count({"city": "Oslo"}) == 17 and store.count({"age": {"gte": 45}}) == sum(u["age"] >= 45 for u in users()) and len(store.candidates({"age": {"gte": 45}})) < store.manifest.n_chunks
+    monkeypatch.setattr(ix, "INDEX_CAP", 4)
+    ingest.append(path, spark.createDataFrame([{**u, "city": f"c{i}"} for i, u in enumerate(users(9))], frame.schema), "x", 2)
+    again = Store(spark, path)
+    assert again.manifest.config.indexed == [] and again.count({"city": "Oslo"}) == 17 and again.count({"city": "c3"}) == 1
+
+
+def test_only_what_the_manifest_names_is_read(spark, frame, tmp_path):
+    path = str(tmp_path / "s")
+    build(frame.where("age < 40"), path, "1kb", "id", ["city"])
+    frame.write.parquet(f"{path}/data/left-behind")
+    late = frame.where("age >= 40")
+    first = Store(spark, path)
+    assert first.query().execute().count() == first.count() == 40
+    for _ in range(2):
+        ingest.append(path, late, "stream", 4)
+    ingest.append(path, late, "stream", 3)
+    again = Store(spark, path)
+    assert again.query().execute().count() == again.count() == 50 and first.count() == 40
+    assert vacuum(spark, path) == ["left-behind"] and Store(spark, path).query().execute().count() == 50
+    build(frame, path, "1kb", "id", ["city"])
+    assert Store(spark, path).query().execute().count() == 50 and len(vacuum(spark, path)) == 2
+
+
+def test_append_widens_bounds_and_types(spark, tmp_path):
+    path = str(tmp_path / "s")
+    build(spark.createDataFrame([("b", "2024-01-01", 5.0), ("c", "2024-01-02", 6.0)], "s string, d string, x double"), path, "1kb", "s", [])
+    m = ingest.append(path, spark.createDataFrame([("a", "no date", None), ("é", None, -1.0)], "s string, d string, x double"))
+    fields = {f.name: f for f in Manifest.from_json(m.to_json()).schema.fields}
+    assert (fields["s"].stats.min, fields["s"].stats.max) == ("a", "é") and (fields["x"].stats.min, fields["x"].stats.max) == (-1.0, 6.0)
+    assert fields["d"].type == "string" and fields["x"].nullable and not fields["s"].nullable
+    assert Store(spark, path).count({"x": {"lt": 0}}) == 1
+
+
+def test_unsteady_input_is_pinned(spark, tmp_path):
+    steady = Store(spark, _built(spark, tmp_path)).rows
+    assert layout.stable(loader.with_ordinal(steady).where("id > 3")).inputFiles()
+    shuffled = loader.with_ordinal(steady.repartition(3))
+    pinned = layout.stable(shuffled)
+    assert pinned is not shuffled and not pinned.inputFiles()
+    build(steady.repartition(5).select("id"), str(tmp_path / "again"), 100, "id", [])
+    assert sorted(r["id"] for r in Store(spark, str(tmp_path / "again")).query().execute().collect()) == list(range(60))
+
+
+def _built(spark, tmp_path):
+    build(spark.range(60).toDF("id"), str(tmp_path / "built"), 100, "id", [])
+    return str(tmp_path / "built")
+
+
+def test_chunks_are_kept_after_reading(store, monkeypatch):
+    monkeypatch.setattr("tessera.sources.store.MEMO", 2)
+    store.clear_cache()
+    one = store.chunk(0)
+    assert store.chunk(0) is one
+    store.chunk(1), store.chunk(2)
+    assert list(store._memo) == [1, 2] and store.chunk(0) is not one
+    store.clear_cache()
+    assert not store._memo
+
+
 def test_many_candidates_are_joined(spark, store, monkeypatch):
-    monkeypatch.setattr("tessera.sources.store.IN_LIST", 1)
+    monkeypatch.setattr("tessera.sources.store.STRETCHES", 0)
     assert store.query({"where": {"age": {"lt": 30}, "id": {"in": ["u001", "u002"]}}}).count() == 2
 
 
@@ -184,10 +309,13 @@ def test_json_export_and_source(spark, frame, store, tmp_path):
     assert df.count() == 50 and df.where("age < 25 and city = 'Oslo'").count() == len([u for u in users() if u["age"] < 25 and u["city"] == "Oslo"])
 
 
-def test_codegen_is_python(frame):
+def test_codegen_is_python(frame, store):
     text = generate(profile.infer_schema(loader.with_ordinal(frame), loader.ORDINAL, frame.columns)[1])
     space: dict = {}
     exec(text, space)
+    client = space["Client"](store.spark, store.path)
+    assert client.get("u007")["name"] == "Name 7" and client.get("zz") is None and client.count({"city": "Oslo"}) == 17 and client.first({"age": {"gt": 47}})["age"] > 47
+    assert [r["id"] for r in client.find({"city": "Oslo"}, "age", "desc", limit=2, offset=1).collect()] and client.query({"city": "Bonn"}).count() == 17
     assert space["PRIMARY"] == "id" and set(space["Item"].__annotations__) == set(frame.columns) and "'active': 'bool'" in text and "active" not in text.split("SortableField")[1].split("PRIMARY")[0]
     with pytest.raises(ValueError):
         generate(Schema([]), "class")
