@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a public tokenizer file.
 
 Text is cut at the file's added tokens, then into words by the file's pattern; each distinct word is
-merged once per worker and kept in a bounded cache. A short word is held as a contiguous array of part
-boundaries with the rank of each adjacent pair: the array is scanned for the smallest rank, that boundary
-is deleted, and the two neighbouring ranks are refreshed, until no pair has a rank. Scanning is quadratic,
+merged once per worker and kept in a bounded cache. A short word is held as a contiguous array of the parts
+between its boundaries, by id, with the rank of each adjacent pair: the array is scanned for the smallest rank,
+the boundary there is deleted, and the two neighbouring ranks are refreshed, until no pair has a rank. Scanning is quadratic,
 so words of more than ``SHORT`` bytes use a heap of ranks over a linked list instead, with the same
 result: lowest rank first, leftmost among equals.
 
@@ -184,7 +184,9 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, convert) -> DataFra
     """``df`` with ``name`` added or replaced by ``convert`` of its last column, an array at a time; that column goes."""
     given = df.schema.fields[:-1]
     places = [i for i, f in enumerate(given) if f.name != name]
-    schema = T.StructType([*(given[i] for i in places), T.StructField(name, kind)])
+    # Columns go through under plain names: Python functions can't take those with dots or backticks.
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    schema = T.StructType([*(plain.schema[i] for i in places), T.StructField("made", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +200,7 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, convert) -> DataFra
                 yield pa.RecordBatch.from_arrays([*(some.column(p) for p in places), convert(some.column(len(given)))], names=schema.names)
                 begin = end
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*(given[i].name for i in places), name)
 
 
 def _with_texts(df: DataFrame, text: str) -> DataFrame:
