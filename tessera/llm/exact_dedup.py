@@ -8,7 +8,7 @@ then meet the index in a sort-merge anti-join, and those that are new are append
 Defined cases: a null text counts as empty, so null, empty and blank texts are one group. Among
 equal texts the row with the most code points wins, then the smallest doc_id (null last), then the
 smallest hash of the whole row; rows that are equal in every column are interchangeable and one of
-them stays. An empty batch leaves the index as it is. Columns of the batch keep their names and
+them stays. Texts of any length are digested whole. An empty batch leaves the index as it is. Columns of the batch keep their names and
 types; working columns get names that clash with none of them.
 """
 
@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import SPACES, cut, documents, fresh, quoted, text_or_empty
 
@@ -57,8 +58,9 @@ class DigestIndex:
 
     def absent(self, df: DataFrame, digest: str) -> DataFrame:
         """The rows of ``df`` whose digest the index doesn't hold, by sort-merge anti-join."""
-        known = self.read().select(F.col("digest").alias("_t_known"))
-        return df.join(known.hint("merge"), quoted(digest) == F.col("_t_known"), "left_anti")
+        name = fresh(df, "known")[0]
+        known = self.read().select(F.col("digest").alias(name))
+        return df.join(known.hint("merge"), quoted(digest) == F.col(name), "left_anti")
 
     def append(self, groups: DataFrame, batch: str) -> None:
         """Add ``(digest, keep_id, group_size)`` rows, at most one per digest and all of them new."""
@@ -76,13 +78,19 @@ def _order(length: Column, doc_id: Column, row: Column) -> Column:
     return F.struct((-length).alias("a"), doc_id.isNull().alias("b"), doc_id.alias("c"), row.alias("d"))
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row. Types that can't be hashed, maps above all, count by their JSON."""
+    plain = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return F.xxhash64(*[quoted(f.name) if isinstance(f.dataType, plain) else F.to_json(F.struct(quoted(f.name))) for f in df.schema.fields])
+
+
 def deduplicate(df: DataFrame, index: DigestIndex, text: str = "text", key: str = "doc_id", batch: str | None = None) -> DataFrame:
     """The rows of ``df`` that stay: one per text that the index didn't hold. The index gains them.
 
     Texts cross the network once, as at most one row per digest and map task.
     """
-    digest, best = fresh(df, "digest", "best")
-    row = F.xxhash64(*[quoted(c) for c in df.columns]) if df.columns else F.lit(0)
+    best = fresh(df, "best")[0]
+    row = _row_hash(df)
     whole = F.struct(*[quoted(c) for c in df.columns])
     value = text_or_empty(text)
     winners = (

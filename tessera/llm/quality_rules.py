@@ -1,10 +1,11 @@
 r"""Quality rules as a short-circuit cascade.
 
 Each rule is a boolean column over per-document measures. ``plan_cascade`` runs every rule over a
-random sample of all rows, takes the seconds it costs and the share it rejects, and orders the rules
-by rejection per cost. ``cascade`` turns that order into nested CASE branches: a rule's measures are
+random sample of all rows, takes the seconds it costs beyond those of an empty job and the share it
+rejects, and orders the rules by rejection per cost. ``cascade`` turns that order into nested CASE branches: a rule's measures are
 computed only for documents that all rules before it have passed. A document is kept when it passes
-every rule, so the order, and with it the sample, changes the cost and never the verdict.
+every rule, so the order, and with it the sample, changes the cost and never the verdict. ``judge`` returns
+some measures for every document, so there only the rules that don't build on these are skipped.
 
 Words are runs of ``[^\x20\x09-\x0D]``. All of it is Spark expressions over one row: no shuffle, no
 Python. Repeated 3-word windows are found by packing 44 bits of each window's hash and its position
@@ -29,6 +30,7 @@ from tessera.llm.common import cut, documents, fresh, quoted, text_or_empty
 
 #: Rows that the sample for cost and selectivity is expected to hold.
 SAMPLE_ROWS = 2000
+RUNS, LEAST_SECONDS = 3, 1e-4
 
 
 def one_spaced(text: str) -> str:
@@ -145,22 +147,29 @@ def plan_cascade(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
     """``(rule, share rejected, seconds)``, by rejection per second, best first.
 
     The sample is drawn from all rows and is expected to hold ``sample_rows`` of them. Each rule runs
-    alone over the stored sample, twice, and the shorter time counts.
+    alone over the stored sample, ``RUNS`` times, and so does a rule that never rejects; the least time counts,
+    less that of the empty rule, which is what running a job costs, but at least ``LEAST_SECONDS``.
     """
     share = min(1.0, sample_rows / max(1, df.count()))
     sample = cut(df.select(text_or_empty(text).alias("text")).sample(fraction=share, seed=seed))
-    out = []
-    for rule in rules:
+
+    def run(rejects: str) -> tuple[float, float]:
         judged = Judged(sample, "text")
-        judged.measure(_needed([rule.rejects]))
-        counts = judged.df.agg(F.count("*").alias("n"), F.count_if(F.expr(judged.sql(rule.rejects))).alias("bad"))
+        judged.measure(_needed([rejects]))
+        counts = judged.df.agg(F.count("*").alias("n"), F.count_if(F.expr(judged.sql(rejects))).alias("bad"))
         took = []
-        for _ in range(2):
+        for _ in range(RUNS):
             began = time.monotonic()
             row = counts.collect()[0]
             took.append(time.monotonic() - began)
-        out.append((rule, row["bad"] / max(1, row["n"]), min(took)))
-    return sorted(out, key=lambda x: (-x[1] / max(x[2], 1e-6), x[0].name))
+        return row["bad"] / max(1, row["n"]), min(took)
+
+    _, empty = run("length({text}) < 0")
+    out = []
+    for rule in rules:
+        rejected, took = run(rule.rejects)
+        out.append((rule, rejected, max(LEAST_SECONDS, took - empty)))
+    return sorted(out, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

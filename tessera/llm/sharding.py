@@ -9,11 +9,15 @@ moves to the edge of a group of equal texts. Law: ``bytes``.
 
 The order, the sample and the sums use a slim table (no texts) that is checkpointed once. Only
 splitters, range sums and boundaries reach the driver; their number is bounded by ``MAX_RANGES``.
-Slots are numbered inside ranges and offset by the sums, so no task sees more than a range.
+Slots are numbered inside ranges and offset by the sums, so no task sees more than a range: some
+``ROWS_PER_RANGE`` rows, more only beyond ``MAX_RANGES / 4`` times as many rows, or where ``ROUNDS`` rounds of
+cutting left a range overfull; sizes of shards don't depend on that.
 
 Defined cases: a null text has 0 bytes and size 1. Null keys come first in their group. Repeated rows
 are told apart by row number, so a key or text with a third of all rows is cut like any other
-stretch. With fewer records than shards some shards are empty. An empty table gives an empty result.
+stretch. A text of any length is one record, never cut. With fewer records than shards some shards are empty.
+Only the columns that are named are read, so others may have any name or type. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
