@@ -121,11 +121,12 @@ def pack_chunks(df: DataFrame, target: int, chunk_by: str | None = None, ordinal
         raise ValueError("the target is at least 1 byte, the rule 'before' or 'after'")
     ship(df.sparkSession)
     df = stable(df)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_RANGE))
     key = [build_key(chunk_by, df.schema[chunk_by].dataType).alias("__key")] if chunk_by else []
     order = [c.asc_nulls_first() for c in ([F.col("__key")] if chunk_by else []) + [F.col("__at")]]
-    df = df if SIZE in df.columns else with_size(df, ordinal, rule)
-    slim = df.select(*key, column(ordinal).alias("__at"), F.col(SIZE))
+    sized = df if SIZE in df.columns else with_size(df, ordinal, rule)
+    # Sizes are those of rows as JSON: they are taken once, before the ranges are sampled and dealt out.
+    slim = cut(sized.select(*key, column(ordinal).alias("__at"), F.col(SIZE)))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slim.count() // ROWS_PER_RANGE))
     slim = cut(slim.repartitionByRange(parts, *order).sortWithinPartitions(*order)).select(F.spark_partition_id().alias("part"), "__at", SIZE)
 
     def sizes_of(batches: Iterator[pd.DataFrame]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -157,10 +158,10 @@ def pack_chunks(df: DataFrame, target: int, chunk_by: str | None = None, ordinal
         ids = entry[part][1] - 1 + np.cumsum(started)
         for i in range(0, len(at), 10_000):
             some = slice(i, i + 10_000)
-            yield pd.DataFrame({"__at": at[some], CHUNK: ids[some].astype(np.int32), "__pos": (part << 33) + np.arange(i, i + len(at[some]))})
+            yield pd.DataFrame({"__at": at[some], SIZE: sizes[some], CHUNK: ids[some].astype(np.int32), "__pos": (part << 33) + np.arange(i, i + len(at[some]))})
 
-    placed = slim.mapInPandas(number, f"__at bigint, {CHUNK} int, __pos bigint")
-    return df.join(placed, column(ordinal) == F.col("__at")).drop("__at"), chunks
+    placed = slim.mapInPandas(number, f"__at bigint, {SIZE} bigint, {CHUNK} int, __pos bigint")
+    return df.drop(SIZE).join(placed, column(ordinal) == F.col("__at")).drop("__at"), chunks
 
 
 def stable(df: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def add_chunks(manifest: Manifest, rows: DataFrame, out: str) -> DataFrame:
     beyond that, without gathering them here, in tables.
     """
     spark, folder, config, first = rows.sparkSession, f"data/{uuid.uuid4().hex}", manifest.config, manifest.n_chunks
-    placed, n = layout.pack_chunks(layout.with_size(rows, rule=config.cut), config.chunk_size, config.chunk_by, rule=config.cut)
+    placed, n = layout.pack_chunks(rows, config.chunk_size, config.chunk_by, rule=config.cut)
     files = max(-(-n * config.chunk_size // FILE_BYTES), min(n, spark.sparkContext.defaultParallelism), 1)
     by_file = placed.repartitionById(files, F.floor(F.col(layout.CHUNK) * F.lit(files).cast("bigint") / F.lit(max(n, 1))).cast("int"))
     numbered = by_file.withColumn(layout.CHUNK, (F.col(layout.CHUNK) + first).cast("int")).drop(ORDINAL)
