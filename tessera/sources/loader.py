@@ -17,7 +17,7 @@ from tessera.runtime import ship
 FORMATS = ("json", "ndjson", "csv", "parquet")
 ORDINAL = "__ordinal"
 PEEK = 1024
-_GAP = re.compile(r"[,\s]*")
+_SPACE, _GAP = re.compile(r"\s*"), re.compile(r"[,\s]*")
 
 
 def _files(spark: SparkSession, path: str):
@@ -148,14 +148,16 @@ def array_records(path: str, piece: int = 1 << 20) -> Iterator[str]:
                     return
                 try:
                     record, end = decoder.raw_decode(text, at)
+                    at_next = _SPACE.match(text, end).end()
+                    after = text[at_next : at_next + 1]
                 except ValueError:
-                    if not more:
-                        raise ValueError(f"{path}: broken JSON at {text[at : at + 80]!r}") from None
-                    end = len(text)
-                if end < len(text):  # a number could go on in the next piece
+                    after = ""
+                if after and after in ",]":  # else the record may go on in the next piece
                     yield json.dumps(record, ensure_ascii=False)
                     at, size = end, piece
                     continue
+                if not more:
+                    raise ValueError(f"{path}: broken JSON at {text[at : at + 80]!r}")
             if not more:
                 raise ValueError(f"{path}: the array has no end")
             got = raw.read(size)
