@@ -90,15 +90,30 @@ def stats_frame(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "field string, cardinality bigint, null_count bigint, min_text string, max_text string")
 
 
+def key_name(name: str) -> bool:
+    return "id" in name.lower() or name.lower() == "key"
+
+
 def find_primary(rows: int, fields: list[Field]) -> str | None:
-    """The first field that is unique and complete and is named like a key."""
+    """The first field that is unique and complete and is named like a key, as far as its values are counted."""
     for f in fields:
-        named = "id" in f.name.lower() or f.name.lower() == "key"
-        if rows and named and f.stats.cardinality == rows and f.stats.null_count == 0:
+        if rows and key_name(f.name) and f.stats.cardinality == rows and f.stats.null_count == 0:
             return f.name
     return None
 
 
+def find_whole_primary(df: DataFrame, rows: int, fields: list[Field], cap: int | None) -> str | None:
+    """The same for any number of rows: fields with more values than the cap counts are tested for repeated ones."""
+    if cap is None or rows <= cap:
+        return find_primary(rows, fields)
+    for f in fields:
+        # Beyond the cap there are more rows than counted values: a field below it repeats some.
+        if key_name(f.name) and f.stats.null_count == 0 and f.stats.cardinality >= cap:
+            if df.groupBy(_value(df, f.name).alias("value")).count().where("count > 1").isEmpty():
+                return f.name
+    return None
+
+
 def worth_index(f: Field, rows: int) -> bool:
     distinct, name = f.stats.cardinality, f.name.lower()
     if distinct <= 1 or distinct > rows * 0.5 or distinct > 1000:
@@ -111,13 +126,16 @@ def worth_index(f: Field, rows: int) -> bool:
     return distinct >= 2 if f.type == BOOLEAN else 2 <= distinct <= 500
 
 
-def infer_schema(df: DataFrame, ordinal: str | None = None, order: list[str] | None = None, cap: int | None = CARDINALITY_CAP, primary: str | None = None) -> tuple[int, Schema]:
-    """(rows, schema): primary first, then by name. ``order`` is the fields' order in the input."""
+def infer_schema(df: DataFrame, ordinal: str | None = None, order: list[str] | None = None, cap: int | None = CARDINALITY_CAP, primary: str | None = None, whole: bool = False) -> tuple[int, Schema]:
+    """(rows, schema): primary first, then by name. ``order`` is the fields' order in the input.
+
+    With ``whole`` the primary field is found in inputs with more rows than the cap, too.
+    """
     rows, stats = field_stats(df, ordinal, cap)
     names = [n for n in (order or []) if n in stats]
     names += [n for n in stats if n not in names]
     fields = [Field(n, stats[n][0], stats[n][1].null_count > 0, False, stats[n][1]) for n in names]
-    primary = primary or find_primary(rows, fields)
+    primary = primary or (find_whole_primary(df, rows, fields, cap) if whole else find_primary(rows, fields))
     for f in fields:
         f.indexed = worth_index(f, rows)
     fields.sort(key=lambda f: (f.name != primary, f.name.lower(), f.name))

@@ -72,7 +72,7 @@ def build(
     spark = df.sparkSession
     target = parse_size(chunk_size) if isinstance(chunk_size, str) else chunk_size
     rows = loader.with_ordinal(df)
-    total, schema = profile.infer_schema(rows, ORDINAL, order or df.columns, cap, primary)
+    total, schema = profile.infer_schema(rows, ORDINAL, order or df.columns, cap, primary, whole=True)
     if not total:
         raise ValueError("the input has no records")
     if chunk_by:

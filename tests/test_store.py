@@ -68,6 +68,15 @@ def test_cardinality_cap_switches_primary_off(spark):
     assert profile.infer_schema(df, cap=None)[1].primary == "row_id" and profile.infer_schema(df, cap=20, primary="row_id")[1].primary == "row_id"
 
 
+def test_builds_find_a_primary_field_beyond_the_cap(spark, tmp_path):
+    df = spark.range(30).select((F.col("id") % 29).alias("grid"), F.when(F.col("id") > 0, F.col("id")).alias("id_or_null"), F.col("id").alias("row_id"))
+    assert profile.infer_schema(df, cap=20, whole=True)[1].primary == "row_id"
+    assert profile.infer_schema(df.drop("row_id"), cap=20, whole=True)[1].primary is None and profile.infer_schema(df, cap=29, whole=True)[1].primary == "row_id"
+    build(df, str(tmp_path / "s"), cap=20)
+    store = Store(spark, str(tmp_path / "s"))
+    assert store.get(7)["row_id"] == 7 and store.get(-5) is None
+
+
 def greedy(sizes, target, rule):
     out, chunk, size = [], 0, 0
     for s in sizes:
