@@ -170,6 +170,12 @@ def with_ordinal(df: DataFrame, name: str = ORDINAL) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def spread(df: DataFrame, least: int = 100_000) -> DataFrame:
+    """``df``, dealt out anew where one task would have over twice its share, and over ``least`` rows: a file is read by one task for each of its row groups."""
+    n, sizes = df.sparkSession.sparkContext.defaultParallelism, [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return df.repartition(n) if max(sizes, default=0) > max(least, 2 * sum(sizes) / n) else df
+
+
 def head(df: DataFrame, n: int = 1000) -> DataFrame:
     """The first ``n`` records in reading order."""
     return df.limit(n)
