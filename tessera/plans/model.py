@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field
 from decimal import Decimal
 from typing import Any
@@ -101,25 +102,30 @@ class Index(dict):
 
     def __init__(self, *args):
         super().__init__(*args)
-        self._numbers: dict[str, dict[float, list[int]]] = {}
+        self._numbers: dict[str, dict[float, list[int | None]]] = {}
 
-    def numbers(self, name: str) -> dict[float, list[int]]:
+    def numbers(self, name: str) -> dict[float, list[int | None]]:
         """The chunks by number, for a numeric field: numbers have several texts, and are looked up as doubles.
 
         Values that are equal for any numeric types are equal as doubles, so a lookup finds all their chunks, and
         may find more where whole numbers lie beyond 2^53.
         """
         if name not in self._numbers:
-            out: dict[float, set[int]] = {}
+            out: dict[float, set[int | None]] = {}
             for text, ids in self[name].items():
                 try:
                     out.setdefault(number_key(float(text)), set()).update(ids)
                 except ValueError:
                     pass  # the field holds strings
-            self._numbers[name] = {k: sorted(ids) for k, ids in out.items()}
+            self._numbers[name] = {k: in_order(ids) for k, ids in out.items()}
         return self._numbers[name]
 
 
+def in_order(ids: Iterable[int | None]) -> list[int | None]:
+    """Chunks in order, the null one last."""
+    return sorted(ids, key=lambda c: (c is None, c or 0))
+
+
 def number_key(value: Any) -> Any:
     """The number as a double that equals itself: NaN is one value, as it is for Spark."""
     try:
